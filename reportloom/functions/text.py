@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as blank (Unicode white space and the ASCII separators).
-BLANKS = r"\s\x1c-\x1f\x85   -     　"
+BLANKS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -26,7 +26,7 @@ def word_count(c: Column | str) -> Column:
 def token_count(c: Column | str) -> Column:
     """max(1, int(words * 1.3)); 0 without words."""
     w = word_count(c)
-    return F.when(w > 0, F.greatest(F.lit(1), F.floor(w * 13 / 10).cast("int"))).otherwise(F.lit(0))
+    return F.when(w > 0, F.greatest(F.lit(1), F.floor(w * F.lit(1.3)).cast("int"))).otherwise(F.lit(0))
 
 
 def lower_tr(c: Column | str) -> Column:
