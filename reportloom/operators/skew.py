@@ -30,8 +30,10 @@ def salted_lookup(big: DataFrame, lookup: DataFrame, key: str, how: str = "left"
         .select(F.col(key).alias("_hot"))
     )
     hot = F.broadcast(hot)
+    # the salt depends on the row alone, so a task that runs again sends each row to the same place
+    spread = [c for c, kind in big.dtypes if "map<" not in kind and c != key] or [key]
     left = big.join(hot, big[key].eqNullSafe(F.col("_hot")), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
     right = lookup.join(hot, lookup[key] == F.col("_hot"), "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
