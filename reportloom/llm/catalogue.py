@@ -25,6 +25,24 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.leaks import RUN
+
+    return _leaks(spark, sf).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.leaks import MIN_SCORE
+
+    return _leaks(spark, sf).where(F.col("score") >= MIN_SCORE)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
