@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from reportloom.session import table
 
 
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.splitting import split_chunks
+
+    return split_chunks(table(spark, sf, "chunks")).where("oversized").distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_pieces(spark, sf).select("chunk_id").distinct()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from reportloom.llm.components import connected_groups
 
@@ -55,6 +65,7 @@ r AS (SELECT a AS entity_id, a AS reached FROM e UNION SELECT r.entity_id, e.b F
 g AS (SELECT entity_id, min(reached) AS group_id FROM r GROUP BY 1)
 """
 SQL = {
+    "p1_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 4000 OR floor(len(regexp_extract_all(text, '[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) * 1.3::DOUBLE) > 500",
     "p5_found": _GROUPS + "SELECT entity_id, group_id FROM g",
     "p5_sizes": _GROUPS + "SELECT members, count(*) AS groups FROM (SELECT group_id, count(*) AS members FROM g GROUP BY 1) GROUP BY 1",
 }
