@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).select("chunk_id").distinct()
 
 
+def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.languages import label_languages
+
+    return label_languages(spark, table(spark, sf, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.languages import mislabelled
+
+    return mislabelled(p4_languages(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from reportloom.llm.components import connected_groups
 
