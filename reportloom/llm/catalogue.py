@@ -65,6 +65,22 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).where(F.col("score") >= MIN_SCORE)
 
 
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.truncation import find_truncated
+
+    return find_truncated(table(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _truncated(spark, sf).where("truncated").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.truncation import truncation_rates
+
+    return truncation_rates(_truncated(spark, sf))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
