@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pieces(spark, sf).select("chunk_id").distinct()
 
 
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.names import link_names
+
+    return link_names(spark, table(spark, sf, "aliases"), table(spark, sf, "canonical_entities"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from reportloom.llm.names import linked_pairs
+
+    return linked_pairs(p2_entities(spark, sf))
+
+
 def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
     from reportloom.llm.languages import label_languages
 
