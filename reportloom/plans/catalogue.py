@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.plans import general
+from reportloom.plans import general, graphs, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (general, texts, retrieval, graphs)
 
 
 def queries() -> dict[str, Query]:
-    return dict(general.QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(general.SQL)
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
