@@ -2,7 +2,8 @@
 
 Method: rare n-gram seeds join corpus passages to test items, then Smith-Waterman alignment scores
 paraphrased or edited copies. Of every window of `run` consecutive words of an item, the n-gram that is rarest
-among the items is a seed, so any document that holds such a window holds a seed of it: no exact leak is lost.
+among the items is a seed, so any document that holds such a window holds a seed of it: no exact leak is lost. For
+edited copies, which may keep none of those, all other n-grams that are rare among items and documents are seeds too.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.llm.words import fold_words, gram_hashes
-from reportloom.session import fan_out
+from reportloom.session import Stash, fan_out
 
 #: Words that count as a leak when consecutive, and words of a seed.
 RUN, SEED = 12, 5
+#: An n-gram of at most so many items and so many documents is rare: a seed even if it isn't its window's rarest.
+RARE_ITEMS, RARE_DOCS = 5, 100
 #: Bits of the filter that spares the corpus' n-grams the shuffle: 4 MB, whatever the number of seeds.
 FILTER_BITS = 1 << 25
 #: Alignment: a word that agrees, one that differs, one left out; reported from this score on.
@@ -57,6 +60,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     words in common. Words are runs of letters and digits, without case and accents. Texts that are null,
     empty or shorter than `seed` words leak nothing; items of fewer than `run` words are seeded as one window.
     Repeated rows and repeated keys with other texts count once per key (best score). Empty tables give no rows.
+    Runs its first steps when called: the seeds and the documents' n-grams that meet them are tables in the shared folder.
 
     Per document only the n-grams that pass a filter of the items' seeds are shuffled; the filter is a broadcast
     of FILTER_BITS bits. Candidates are pairs of document and item with a seed in common.
@@ -66,9 +70,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
 
     def item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, t in b.itertuples(index=False):
-                g = gram_hashes(fold_words(t), seed)
-                yield pd.DataFrame({"k": [k] * len(g), "pos": np.arange(len(g), dtype=np.int32), "g": g.view(np.int64)})
+            gs = [(k, gram_hashes(fold_words(t), seed)) for k, t in b.itertuples(index=False)]
+            gs = [(k, g) for k, g in gs if len(g)]
+            if gs:
+                yield pd.DataFrame({"k": [k for k, g in gs for _ in range(len(g))], "pos": np.concatenate([np.arange(len(g), dtype=np.int32) for _, g in gs]), "g": np.concatenate([g for _, g in gs]).view(np.int64)})
 
     # how many items hold a seed: rare ones make few candidates
     it = items.select(item_key, F.col(item_text).alias("_t")).where(F.col("_t").isNotNull()).distinct()
@@ -79,7 +84,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     # of each window the rarest gram; ties by the gram's hash, which is the same in both texts
     n = F.size("x")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda s: F.struct(s["df"].alias("df"), s["g"].alias("g"))))["g"])
-    seeds = ranked.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g")).distinct()
+    chosen = ranked.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g"), F.lit(True).alias("must"))
+    other = grams.join(rank.where(F.col("df") <= RARE_ITEMS), "g").select(F.col("k").alias(item_key), "g", F.lit(False).alias("must"))
+    seeds = Stash(spark, "seeds").put(chosen.unionByName(other).groupBy(item_key, "g").agg(F.max("must").alias("must")))
 
     def to_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -106,13 +113,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
                 g = np.unique(g[ok])
                 ks += [k] * len(g)
                 gs.append(g)
-            if ks:
+            if len(ks):
                 yield pd.DataFrame({doc_key: ks, "g": np.concatenate(gs).view(np.int64)}).astype({doc_key: b.iloc[:, 0].dtype})
 
     d = docs.select(doc_key, F.col(doc_text).alias("_t")).where(F.col("_t").isNotNull())
     hits = fan_out(d).mapInPandas(doc_hits, f"{doc_key} {dkind}, g bigint").distinct()
-    # a seed that a third of the documents hold is no hot spot: the items' side of it is short, the documents' side is split by AQE
-    pairs = hits.join(seeds, "g").select(doc_key, item_key).distinct()
+    hits = Stash(spark, "hits").put(hits)  # the documents are read and hashed once
+    common = hits.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RARE_DOCS).select("g")
+    use = seeds.where("must").select(item_key, "g").unionByName(seeds.where("NOT must").join(common, "g", "left_anti").select(item_key, "g"))
+    # a seed that a third of the documents hold: the items' side of it is short, the documents' side is split by AQE
+    pairs = hits.join(use, "g").select(doc_key, item_key).distinct()
     texts = pairs.join(it.withColumnRenamed("_t", "_item"), item_key).join(d.distinct().withColumnRenamed("_t", "_doc"), doc_key)
     out = f"{doc_key} {dkind}, {item_key} {ikind}, score double, longest_run int, item_words int"
 
