@@ -76,10 +76,12 @@ def split_text(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHA
 
     def overlap_start(cut: int, low: int) -> int:
         """The earliest strong place before `cut` from which the overlap keeps its limits."""
+        if not over_words:
+            return cut
         k = before(cut) - over_words
         floor = max(low, cut - over_chars, int(starts[k]) if k > 0 else 0)
         lo, hi = np.searchsorted(at, [floor, cut])
-        if not over_words or lo == hi:
+        if lo == hi:
             return cut
         s = strength[lo:hi].copy()
         s[s < 2] = 0
