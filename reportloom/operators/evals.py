@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
+from reportloom.operators.ordering import ranked
 from reportloom.operators.ranking import jaccard
 
 
@@ -95,11 +96,7 @@ def uncited_numbers(report: Column) -> Column:
 
 
 def agreement(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """One row: n, exact, within_one, mean absolute error, Pearson (1 if undefined), Spearman (ordinal ranks, ties by key), quadratic weighted kappa (1..5).
-
-    Means and sums only, but for the ranks, which need a total order: they are computed on the counts of each value, so
-    no window runs over all rows. Rows with a null side are left out.
-    """
+    """One row: n, exact, within_one, mean absolute error, Pearson (1 if undefined), quadratic weighted kappa (1..5). Rows with a null side are left out."""
     p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.col(key).alias("k"))
     base = p.agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("x") == F.col("y")).cast("int")), 6).alias("exact"), F.round(F.avg((F.abs(F.col("x") - F.col("y")) <= 1).cast("int")), 6).alias("within_one"),
@@ -116,9 +113,9 @@ def agreement(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """One row: n, spearman by the closed form over ordinal ranks (ties by key). The ranking sorts a score set, one row per judged item."""
-    p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    p = p.withColumn("_ra", F.row_number().over(Window.orderBy(a, key))).withColumn("_rb", F.row_number().over(Window.orderBy(b, key)))
+    """One row: n, spearman by the closed form over ordinal ranks (ties by key). Ranks are taken in ranges, not in one task. Rows with a null side are left out."""
+    p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b).withColumn("_all", F.lit(0))
+    p = ranked(ranked(p, ["_all"], [a, key], "_ra"), ["_all"], [b, key], "_rb")
     n = F.count(F.lit(1)).cast("double")
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.when(n > 1, 1.0 - 6.0 * F.sum(F.pow(F.col("_ra") - F.col("_rb"), 2)) / (n * (n * n - 1.0))).otherwise(1.0), 6).alias("spearman"))
 
@@ -137,13 +134,11 @@ def abstention_scores(rows: DataFrame, abstained: Column, answerable: Column) ->
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, share: float = 0.7) -> DataFrame:
-    """Adds part: dev for the first floor(n * share) keys of each stratum in key order, test for the rest.
-
-    Ranks come from counts: rows are put into ranges by the hash-free order of key only within their stratum.
-    """
-    w = Window.partitionBy(stratum)
-    rn = F.row_number().over(w.orderBy(key))
-    return rows.withColumn("part", F.when(rn <= F.floor(F.count(F.lit(1)).over(w) * share), "dev").otherwise("test"))
+    """Adds part: dev for the first floor(n * share) keys of each stratum in key order, test for the rest. A stratum of any size is ranked in ranges."""
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked(rows, [stratum], [key], "_rn")
+    j = r.join(sizes, r[stratum].eqNullSafe(sizes["_s"]))
+    return j.withColumn("part", F.when(F.col("_rn") <= F.floor(F.col("_n") * share), "dev").otherwise("test")).drop("_rn", "_n", "_s")
 
 
 def blind_label(key: Column, seed: str, labels: str = "AB") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
+from reportloom.operators.ordering import running_sum
 
 # Phrases that mark a question's kind, words out of the domain, words left out of a rewritten question.
 COMPARE = ["karşılaştır", "karsilastir", "kıyas", "compare", "versus", " vs ", "difference between", "fark"]
@@ -83,10 +84,10 @@ def trace_metrics(events: DataFrame, run: str, agent: str, seconds: str, failed:
     return events.groupBy(run, agent).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"), F.count_if(failed).alias("failures"), F.round(F.avg(F.coalesce(failed, F.lit(False)).cast("int")), 6).alias("failure_rate"))
 
 
-def budget_use(events: DataFrame, run: str, order: list, cost: str, budget: float) -> DataFrame:
-    """Adds spent (running cost in order) and exhausted (spent reaches the budget)."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("spent", F.round(F.sum(cost).over(w), 4)).withColumn("exhausted", F.col("spent") >= budget)
+def budget_use(events: DataFrame, run: str, order: list[str], cost: str, budget: float) -> DataFrame:
+    """Adds spent (running cost in order, which must be total) and exhausted (spent reaches the budget). A run of any size is summed in ranges."""
+    e = running_sum(events, [run], order, F.col(cost), "spent")
+    return e.withColumn("spent", F.round("spent", 4)).withColumn("exhausted", F.col("spent") >= budget)
 
 
 def config_hash(settings: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
-from reportloom.operators import chunking, evals, graph, ranking, references, resolve, skew, units, vectors, workflow
+from reportloom.operators import chunking, evals, graph, ordering, ranking, references, resolve, skew, units, vectors, workflow
 from reportloom.sources import records
 
 
@@ -178,6 +178,19 @@ def test_rate_window_replays(spark):
         assert got[i] == sum(1 for j, u in enumerate(times) if j % 2 == i % 2 and s - 60 < u <= s), i
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_running_sum_of_a_hot_group(spark, parts):
+    data = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", (i * 37) % 101, i) for i in range(300)]
+    d = spark.createDataFrame(data, "g string, o int, v int")
+    got = {r.v: (r.s, r.n) for r in ordering.ranked(ordering.running_sum(d, ["g"], ["o", "v"], F.col("v"), "s", parts), ["g"], ["o", "v"], "n", parts).collect()}
+    for g in {x[0] for x in data}:
+        total = 0
+        for n, (_, _, v) in enumerate(sorted((x for x in data if x[0] == g), key=lambda x: (x[1], x[2]))):
+            total += v
+            assert got[v] == (total, n + 1)
+    assert ordering.ranked(d.limit(0), ["g"], ["o"], "n").count() == 0
+
+
 def test_ready_tasks_and_levels(spark):
     t = spark.createDataFrame([("r", 1, [], True), ("r", 2, [1], False), ("r", 3, [2], False), ("s", 1, [], False)], "run string, step int, needs array<int>, done boolean")
     assert rows(workflow.ready_tasks(t, "run").select("run", "step")) == [("r", 2), ("s", 1)]
