@@ -37,9 +37,9 @@ def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    from reportloom.llm.languages import mislabelled
+    from reportloom.llm.languages import label_languages, mislabelled
 
-    return mislabelled(p4_languages(spark, sf))
+    return mislabelled(label_languages(spark, table(spark, sf, "chunks"), segments=False))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,13 +39,12 @@ MIN_LETTERS, SECOND_LETTERS, MIN_WORDS = 20, 30, 8
 STRETCH = 100
 LONG_UNIT = 240
 
-_SEPARATOR = 255
+_SEPARATOR, _MARK = 255, "\ue000"
 # list, table and contents lines: no running text
 _LISTS = re.compile(r"^[ \t]*(?:[-*•–—][ \t].*(?:\d[ \t]*|:[ \t]*\d.*)|.*(?:\t| \| | ; |\.{4,}).*)$", re.M)
-# after a stop that follows two letters, a digit, a percent sign or a bracket (so not after initials), with or without a blank
-_UNITS = re.compile(
-    r"(?:(?<=[^\W\d_]{2}[.!?…])|(?<=[%\d)][.!?…]))[\"'”’»)]*\s+(?:[/|~=*#–—-]+\s+)?(?=[^\W\d_a-zçğıöşüáéíóúñäßèàêə]|[\"“«(]|\d)"
-    r"|(?:(?<=[^\W\d_]{3}[.!?])|(?<=[)%\d][.!?]))(?=[^\W\d_][^.])|\n\s*\n|\n[=*#–—-]{2,}\s*\n|\s/\s"
+# candidates of boundaries, found by their first character: a stop with what may follow, an empty or ruled line, a slash
+_MARKS = re.compile(
+    r"[.!?…\n/](?:(?<=[.!?…])[\"'”’»)]*\s+(?:[/|~=*#–—-]+\s+)?(?=[^\W\d_a-zçğıöşüáéíóúñäßèàêə]|[\"“«(]|\d)|(?<=[.!?…])(?=[^\W\d_][^.])|(?<=\n)(?:\s*\n|[=*#–—-]{2,}\s*\n)|(?<=/)\s)"
 )
 _ENDS = re.compile(r"[.!?…][\"'”’»)]*\s*$")
 
@@ -63,6 +62,7 @@ def _table() -> np.ndarray:
             t[cp] = 1 + ord(d) - 97 if "a" <= d <= "z" else 30 + ord(d) % 170
         elif unicodedata.category(c) in ("Mn", "Cf"):
             t[cp] = 254
+    t[ord(_MARK)] = _SEPARATOR
     return t
 
 
@@ -88,12 +88,23 @@ def units(text: str) -> list[tuple[int, int, bool]]:
     body = _LISTS.sub(lambda m: "\n" * len(m.group()), text) if _LISTS.search(text) else text
     out: list[tuple[int, int, bool]] = []
     at = 0
-    for m in [*_UNITS.finditer(body), None]:
-        end = m.start() if m else len(body)
+    cuts = []
+    for m in _MARKS.finditer(body):
+        i, c = m.start(), body[m.start()]
+        if c in ".!?…":  # after two letters, a digit, a percent sign or a bracket, so not after initials; unspaced, three letters
+            p, spaced = body[i - 1 : i], m.end() > i + 1
+            if not (p.isalpha() and body[i - 2 : i - 1].isalpha() and (spaced or body[i - 3 : i - 2].isalpha()) or p and (p in "%)" or p.isdigit() and spaced)):
+                continue
+            cuts.append((i + 1, m.end()))
+        elif c == "\n" or body[i - 1 : i].isspace():
+            cuts.append((i, m.end()))
+    for end, after in [*cuts, (len(body), len(body))]:
+        if end < at:
+            continue
         part = body[at:end]
         letters = sum(map(str.isalpha, part)) if len(part) < 80 else MIN_LETTERS
         if letters >= MIN_LETTERS:
-            ends = bool(_ENDS.search(part)) or (m is not None and body[end - 1 : end] in ".!?…")
+            ends = bool(_ENDS.search(part))
             sentence = ends or part.count(" ") >= MIN_WORDS or (len(part) > 120 and letters >= MIN_LETTERS)
             if len(part) > LONG_UNIT:
                 a = at
@@ -107,7 +118,7 @@ def units(text: str) -> list[tuple[int, int, bool]]:
                 out.append((at, end, sentence))
         elif out and letters and out[-1][1] == at_before:
             out[-1] = (out[-1][0], end, out[-1][2])
-        at_before = at = m.end() if m else end
+        at_before = at = after
     return out
 
 
@@ -131,22 +142,28 @@ def grams(all_codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def batch_scores(pieces: list[np.ndarray], matrix: np.ndarray, slice_codes: int = 200_000) -> np.ndarray:
-    """Log likelihood of each piece of codes under each language (pieces x languages)."""
-    out = np.zeros((len(pieces), matrix.shape[1]), np.float32)
+def joined_codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all parts, each after a separator and parted from it by gaps, and where the separators are."""
+    text = "".join(f" {_MARK} {p.replace(_MARK, ' ')}" for p in parts)
+    flat = codes(text)
+    return flat, np.flatnonzero(flat == _SEPARATOR)
+
+
+def batch_scores(parts: list[str], matrix: np.ndarray, slice_chars: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood of each part under each language (parts x languages), and the number of its letters."""
+    out, letters = np.zeros((len(parts), matrix.shape[1]), np.float32), np.zeros(len(parts), np.int64)
     i = 0
-    sep = np.array([0, _SEPARATOR, 0], np.uint8)
-    while i < len(pieces):
+    while i < len(parts):
         j, size = i, 0
-        while j < len(pieces) and (j == i or size + len(pieces[j]) + 3 <= slice_codes):
-            size += len(pieces[j]) + 3
+        while j < len(parts) and (j == i or size + len(parts[j]) <= slice_chars):
+            size += len(parts[j]) + 3
             j += 1
-        flat = np.concatenate([x for p in pieces[i:j] for x in (sep, p)])
-        starts = np.cumsum([0, *(len(p) + 3 for p in pieces[i : j - 1])])
+        flat, starts = joined_codes(parts[i:j])
         for row in grams(flat):
             out[i:j] += np.add.reduceat(matrix[row], starts, axis=0)
+        letters[i:j] = np.add.reduceat(((flat > 0) & (flat < 254)).astype(np.int64), starts)
         i = j
-    return out
+    return out, letters
 
 
 def iso_label(label: Column) -> Column:
@@ -166,7 +183,7 @@ class Model:
         self.matrix = np.vstack([m, np.zeros((1, len(languages)), np.float32)])
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return batch_scores([codes(t) for t in texts], self.matrix)
+        return batch_scores(texts, self.matrix)[0]
 
 
 def _count(rows: DataFrame, languages: list[str], models: list | None) -> list[np.ndarray]:
@@ -188,8 +205,8 @@ def _count(rows: DataFrame, languages: list[str], models: list | None) -> list[n
                     todo = [(p, int(k)) for p, k, ok in zip(parts, own, sure) if ok]
                 else:
                     todo = [(p, languages.index(lang)) for p in parts]
-                for p, k in todo:
-                    for row in grams(np.concatenate([np.zeros(1, np.uint8), codes(p), np.zeros(1, np.uint8)])):
+                for k in {k for _, k in todo}:
+                    for row in grams(joined_codes([p for p, own in todo if own == k])[0]):
                         total[half][:, k] += np.bincount(row, minlength=shape[0]).astype(np.float32)
         yield pd.DataFrame({"half": [0, 1], "counts": [t.tobytes() for t in total]})
 
@@ -223,19 +240,22 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
     return second
 
 
-def classify(texts: DataFrame, model: Model | None, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def classify(texts: DataFrame, model: Model | None, key: str, text: str, keep: tuple[str, ...] = (), segments: bool = True) -> DataFrame:
     """key, the columns in `keep`, language, confidence, languages, segments of each row.
 
     segments: (start, end, language, confidence, sentence) of consecutive stretches of one language, positions in
     characters; list and table lines belong to none. language is that of most letters, confidence its share of
     them times the mean confidence of its stretches. languages: those with a whole sentence. Null, empty and
-    wordless texts have null language and empty arrays. Rows are independent and stay in their partition.
+    wordless texts have null language and empty arrays. Rows are independent and stay in their partition. Without
+    `segments` that column isn't handed over, as Python's output can't be pruned by the plan.
     """
     spark = texts.sparkSession
     kinds = dict(texts.dtypes)
     shared = spark.sparkContext.broadcast((model.languages, model.matrix) if model else ([], None))
     cols = ", ".join(f"{c} {kinds[c]}" for c in (key, *keep))
-    out = f"{cols}, language string, confidence double, languages array<string>, segments array<struct<start:int,end:int,language:string,confidence:double,sentence:boolean>>"
+    out = f"{cols}, language string, confidence double, languages array<string>"
+    if segments:
+        out += ", segments array<struct<start:int,end:int,language:string,confidence:double,sentence:boolean>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, matrix = shared.value
@@ -244,13 +264,14 @@ def classify(texts: DataFrame, model: Model | None, key: str, text: str, keep: t
             for t in b["_text"]:
                 u = units(t) if t and names else []
                 spans.append(u)
-                flat += [codes(t[s:e]) for s, e, _ in u]
-            s = batch_scores(flat, matrix) * DAMPING if flat else np.zeros((0, max(1, len(names))))
+                flat += [t[s:e] for s, e, _ in u]
+            s, letters = batch_scores(flat, matrix) if flat else (np.zeros((0, max(1, len(names)))), [])
+            s = s * DAMPING
             best = s.argmax(axis=1)
             p = np.exp(s - s.max(axis=1, keepdims=True)) if len(s) else s
             conf = p.max(axis=1) / p.sum(axis=1) if len(s) else s
-            letters = [int(np.count_nonzero(c)) for c in flat]
             rows, i = [], 0
+            best, conf, letters = np.asarray(best).tolist(), np.asarray(conf).tolist(), np.asarray(letters).tolist()
             for u in spans:
                 segs: list[list] = []
                 size: dict[str, list[float]] = {}
@@ -264,7 +285,9 @@ def classify(texts: DataFrame, model: Model | None, key: str, text: str, keep: t
                     if sentence and lead > LEAD and n >= SECOND_LETTERS:
                         whole.add(lang)
                     running |= sentence
-                    if segs and segs[-1][2] == lang:
+                    if not segments:
+                        pass
+                    elif segs and segs[-1][2] == lang:
                         segs[-1] = [segs[-1][0], end, lang, min(c, segs[-1][3]), sentence or segs[-1][4]]
                     else:
                         segs.append([start, end, lang, c, sentence])
@@ -279,17 +302,18 @@ def classify(texts: DataFrame, model: Model | None, key: str, text: str, keep: t
                     rows.append((None, None, [], []))
             o = b.drop(columns="_text")
             o["language"], o["confidence"], o["languages"] = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-            o["segments"] = [[dict(zip(("start", "end", "language", "confidence", "sentence"), x)) for x in r[3]] for r in rows]
+            if segments:
+                o["segments"] = [[dict(zip(("start", "end", "language", "confidence", "sentence"), x)) for x in r[3]] for r in rows]
             yield o
 
     return fan_out(texts.select(key, *keep, F.col(text).alias("_text"))).mapInPandas(run, out)
 
 
-def label_languages(spark: SparkSession, chunks: DataFrame, key: str = "chunk_id", text: str = "text", label: str = "language") -> DataFrame:
+def label_languages(spark: SparkSession, chunks: DataFrame, key: str = "chunk_id", text: str = "text", label: str = "language", segments: bool = True) -> DataFrame:
     """classify() with a classifier fitted on the table's own labels; column label_iso has the label as ISO code."""
     model = fit(chunks, key, text, label)
     c = chunks.select(key, F.col(text).alias("text"), iso_label(F.col(label)).alias("label_iso"))
-    return classify(c, model, key, "text", ("label_iso",))
+    return classify(c, model, key, "text", ("label_iso",), segments)
 
 
 def mislabelled(labels: DataFrame, key: str = "chunk_id") -> DataFrame:
