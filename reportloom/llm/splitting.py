@@ -122,7 +122,9 @@ def split_chunks(chunks: DataFrame, key: str = "chunk_id", text: str = "text", i
     """
     kind = chunks.schema[key].dataType.simpleString()
     c = chunks.select(F.col(key), F.col(index).cast("int").alias("source_index"), F.col(text).alias("text"), token_count(text).alias("token_count"))
-    big = (F.col("token_count") > max_tokens) | (F.length("text") > max_chars)
+    # so many words need so many characters and blanks: shorter texts' words aren't counted to find the big ones
+    least = next(w for w in range(1, max_tokens + 2) if tokens(w) > max_tokens) * 2 - 1
+    big = (F.length("text") > max_chars) | F.when(F.length("text") >= least, F.col("token_count") > max_tokens).otherwise(F.lit(False))
     fine = c.where(~F.coalesce(big, F.lit(False))).select(
         key, "source_index", F.lit(False).alias("oversized"), F.lit(0).alias("chunk_index"), F.lit(1).alias("pieces"), "text", "token_count", F.lit(0).alias("first")
     )
