@@ -138,7 +138,7 @@ def number_set(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Pieces after . ! or ? and blanks, trimmed, empty ones left out; null gives an empty array."""
     parts = F.split(F.coalesce(col(c), F.lit("")), "(?<=[.!?])[ \\n]+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def cited_numbers(c: Column | str, n_sources: Column) -> Column:

@@ -81,7 +81,7 @@ def rate_windows(requests: DataFrame, client: str, at: str, most: int, seconds:
 
 def trace_metrics(events: DataFrame, run: str, agent: str, seconds: str, failed: Column) -> DataFrame:
     """(run, agent, calls, total, mean, failures, failure_rate)."""
-    return events.groupBy(run, agent).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"), F.count_if(failed).alias("failures"), F.round(F.avg(F.coalesce(failed, F.lit(False)).cast("int")), 6).alias("failure_rate"))
+    return events.groupBy(run, agent).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 8).alias("mean"), F.count_if(failed).alias("failures"), F.round(F.avg(F.coalesce(failed, F.lit(False)).cast("int")), 6).alias("failure_rate"))
 
 
 def budget_use(events: DataFrame, run: str, order: list[str], cost: str, budget: float) -> DataFrame:

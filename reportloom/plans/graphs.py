@@ -273,7 +273,7 @@ def rate_window(spark, sf):
     return W.rate_windows(table(spark, sf, "events"), "user_id", "ts", 3, 3600).select("event_id", "in_window", "allowed")
 
 
-@query("SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, count(*) FILTER (WHERE value > 20) AS failures, round(avg(coalesce(value > 20, false)::INT), 6) AS failure_rate FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 8) AS mean, count(*) FILTER (WHERE value > 20) AS failures, round(avg(coalesce(value > 20, false)::INT), 6) AS failure_rate FROM events GROUP BY 1, 2")
 def trace_metrics(spark, sf):
     return W.trace_metrics(table(spark, sf, "events"), "user_id", "event_type", "value", F.col("value") > 20)
 

@@ -302,7 +302,7 @@ k AS (SELECT DISTINCT chunk_id FROM chunks WHERE deleted_at IS NULL), v AS (SELE
 
 @query(_CITE + """SELECT g.id, CASE WHEN len(cited) > 0 THEN round(len(coalesce(ok, [])) / len(cited)::DOUBLE, 6) ELSE 1.0 END AS precision, 1.0::DOUBLE AS recall FROM g LEFT JOIN v USING (id)""")
 def citation_metrics(spark, sf):
-    g = table(spark, sf, "golden_test").select("id", F.array_distinct(F.filter(F.transform(F.coalesce("source_chunk_ids", F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))).alias("cited"))
+    g = table(spark, sf, "golden_test").select("id", F.array_distinct(F.filter(F.transform(F.coalesce("source_chunk_ids", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))).alias("cited"))
     k = table(spark, sf, "chunks").where("deleted_at IS NULL").select("chunk_id").distinct()
     v = g.select("id", F.explode("cited").alias("chunk_id")).join(k, "chunk_id", "left_semi").groupBy("id").agg(F.collect_set("chunk_id").alias("ok"))  # a question's few ids
     p, r = E.set_scores(F.col("cited"), F.col("ok"))

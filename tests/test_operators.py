@@ -239,3 +239,8 @@ def test_llm_is_optional():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"reportloom\.llm|from \.+llm", p.read_text()), p
+
+
+def test_sentences_keep_leading_digits(spark):
+    d = spark.createDataFrame([("0 a. 1 b. 22 c! d",), (None,)], "t string")
+    assert [r[0] for r in d.select(T.sentences("t")).collect()] == [["0 a.", "1 b.", "22 c!", "d"], []]
