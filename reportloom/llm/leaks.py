@@ -2,7 +2,7 @@
 
 Method: rare n-gram seeds join corpus passages to test items, then Smith-Waterman alignment scores
 paraphrased or edited copies. Of every window of `run` consecutive words of an item, the n-gram that is rarest
-among the items is a seed, so any document that holds such a window holds a seed of it: no exact leak is lost. For
+among the documents is a seed, so any document that holds such a window holds a seed of it: no exact leak is lost. For
 edited copies, which may keep none of those, all other n-grams that are rare among items and documents are seeds too.
 """
 
@@ -70,23 +70,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
 
     def item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gs = [(k, gram_hashes(fold_words(t), seed)) for k, t in b.itertuples(index=False)]
-            gs = [(k, g) for k, g in gs if len(g)]
+            gs = [(k, h, gram_hashes(fold_words(t), seed)) for k, h, t in b.itertuples(index=False)]
+            gs = [x for x in gs if len(x[2])]
             if gs:
-                yield pd.DataFrame({"k": [k for k, g in gs for _ in range(len(g))], "pos": np.concatenate([np.arange(len(g), dtype=np.int32) for _, g in gs]), "g": np.concatenate([g for _, g in gs]).view(np.int64)})
+                each = lambda i: [x[i] for x in gs for _ in range(len(x[2]))]
+                yield pd.DataFrame({"k": each(0), "h": each(1), "pos": np.concatenate([np.arange(len(x[2]), dtype=np.int32) for x in gs]), "g": np.concatenate([x[2] for x in gs]).view(np.int64)})
 
-    # how many items hold a seed: rare ones make few candidates
-    it = items.select(item_key, F.col(item_text).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    grams = it.mapInPandas(item_grams, f"k {ikind}, pos int, g bigint")
-    rank = grams.select("k", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    width = run - seed + 1
-    ranked = grams.join(rank, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "df", "g"))).alias("x"))  # an item's own words
-    # of each window the rarest gram; ties by the gram's hash, which is the same in both texts
-    n = F.size("x")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda s: F.struct(s["df"].alias("df"), s["g"].alias("g"))))["g"])
-    chosen = ranked.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g"), F.lit(True).alias("must"))
-    other = grams.join(rank.where(F.col("df") <= RARE_ITEMS), "g").select(F.col("k").alias(item_key), "g", F.lit(False).alias("must"))
-    seeds = Stash(spark, "seeds").put(chosen.unionByName(other).groupBy(item_key, "g").agg(F.max("must").alias("must")))
+    stash = Stash(spark, "leaks")
+    it = items.select(item_key, F.col(item_text).alias("_t")).where(F.col("_t").isNotNull())
+    grams = stash.put(fan_out(it.select(item_key, F.xxhash64("_t").alias("_h"), "_t")).mapInPandas(item_grams, f"k {ikind}, h bigint, pos int, g bigint").distinct())
 
     def to_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -95,7 +87,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
                 np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         yield pd.DataFrame({"bits": [bits.tobytes()]})
 
-    parts = seeds.select("g").distinct().coalesce(4).mapInPandas(to_filter, "bits binary").collect()  # at most four filters of fixed size
+    parts = grams.select("g").distinct().coalesce(4).mapInPandas(to_filter, "bits binary").collect()  # at most four filters of fixed size
     mask = np.zeros(FILTER_BITS // 8, np.uint8)
     for p in parts:
         mask |= np.frombuffer(p.bits, np.uint8)
@@ -117,12 +109,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
                 yield pd.DataFrame({doc_key: ks, "g": np.concatenate(gs).view(np.int64)}).astype({doc_key: b.iloc[:, 0].dtype})
 
     d = docs.select(doc_key, F.col(doc_text).alias("_t")).where(F.col("_t").isNotNull())
-    hits = fan_out(d).mapInPandas(doc_hits, f"{doc_key} {dkind}, g bigint").distinct()
-    hits = Stash(spark, "hits").put(hits)  # the documents are read and hashed once
-    common = hits.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RARE_DOCS).select("g")
-    use = seeds.where("must").select(item_key, "g").unionByName(seeds.where("NOT must").join(common, "g", "left_anti").select(item_key, "g"))
+    hits = stash.put(fan_out(d).mapInPandas(doc_hits, f"{doc_key} {dkind}, g bigint").distinct())  # the documents are read and hashed once
+    # how many documents and items hold a gram; windows choose the rarest, ties by the gram's hash, the same in all texts
+    docs_with = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    items_with = grams.select("k", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rated = grams.join(items_with, "g").join(docs_with, "g", "left").select("k", "h", "pos", F.coalesce("n", F.lit(0)).alias("n"), "df", "g")
+    lists = rated.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "df", "g"))).alias("x"))  # one text's own words
+    width = run - seed + 1
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("x") - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda w: F.struct(w["n"].alias("n"), w["df"].alias("df"), w["g"].alias("g"))))["g"])
+    chosen = lists.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g"))
+    rare = rated.where((F.col("df") <= RARE_ITEMS) & F.col("n").between(1, RARE_DOCS)).select(F.col("k").alias(item_key), "g")
     # a seed that a third of the documents hold: the items' side of it is short, the documents' side is split by AQE
-    pairs = hits.join(use, "g").select(doc_key, item_key).distinct()
+    pairs = hits.join(chosen.unionByName(rare).distinct(), "g").select(doc_key, item_key).distinct()
+    it = it.distinct()
     texts = pairs.join(it.withColumnRenamed("_t", "_item"), item_key).join(d.distinct().withColumnRenamed("_t", "_doc"), doc_key)
     out = f"{doc_key} {dkind}, {item_key} {ikind}, score double, longest_run int, item_words int"
 
