@@ -103,7 +103,8 @@ def company_tokens(name: str) -> tuple[str, list[str]]:
         i = exact[-1]
         return _SECTOR[words[i]], words[:i] + words[i + 1 :]
     best = max(((ratio(w, s), i, s) for i, w in enumerate(words) for s in _LONG_SECTORS if abs(len(w) - len(s)) < 3), default=(0.0, 0, ""))
-    if best[0] >= 0.79 and len(words) > 1:
+    # of a short word one wrong letter weighs more; it must then stand where the line of business does
+    if len(words) > 1 and (best[0] >= 0.79 or best[0] >= 0.74 and best[1] in (0, len(words) - 1) and words[best[1]][0] == best[2][0] and len(best[2]) < 6):
         return _SECTOR[best[2]], words[: best[1]] + words[best[1] + 1 :]
     return "", words
 
