@@ -23,6 +23,8 @@ from reportloom.session import Stash, fan_out
 RUN, SEED = 12, 5
 #: An n-gram of at most so many items and so many documents is rare: a seed even if it isn't its window's rarest.
 RARE_ITEMS, RARE_DOCS = 5, 100
+#: Keys of candidate documents that are broadcast at most, to leave the other documents' texts where they are.
+BROADCAST_KEYS = 500_000
 #: Bits of the filter that spares the corpus' n-grams the shuffle: 4 MB, whatever the number of seeds.
 FILTER_BITS = 1 << 25
 #: Alignment: a word that agrees, one that differs, one left out; reported from this score on.
@@ -121,6 +123,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     rare = rated.where((F.col("df") <= RARE_ITEMS) & F.col("n").between(1, RARE_DOCS)).select(F.col("k").alias(item_key), "g")
     # a seed that a third of the documents hold: the items' side of it is short, the documents' side is split by AQE
     pairs = hits.join(chosen.unionByName(rare).distinct(), "g").select(doc_key, item_key).distinct()
+    pairs = stash.put(pairs)
+    ids = pairs.select(doc_key).distinct()
+    if ids.count() <= BROADCAST_KEYS:  # else documents are shuffled whole to meet their pairs
+        d = d.join(F.broadcast(ids), doc_key, "left_semi")
     it = it.distinct()
     texts = pairs.join(it.withColumnRenamed("_t", "_item"), item_key).join(d.distinct().withColumnRenamed("_t", "_doc"), doc_key)
     out = f"{doc_key} {dkind}, {item_key} {ikind}, score double, longest_run int, item_words int"
