@@ -246,6 +246,37 @@ def context_similarity(spark, sf):
     return d.select("decision_id", c.alias("context"), F.array_sort(K.blank_words("left_name")).alias("_a")).distinct().select("decision_id", "context")
 
 
+# --- extraction: each person mention as a provider's answer, with the company as second entity and a role between them ---
+
+_EXTRACT = f"""WITH m AS (SELECT DISTINCT id, canonical_name AS name, properties['company_id'] AS cid, source_chunk_id AS chunk_id, regexp_replace(source_file, '^.*[:/]', '') AS f, page_number AS p, evidence_text AS ev, confidence AS c FROM input_entities WHERE type = 'Person'),
+c AS (SELECT chunk_id, max(text) AS text, max(source_file) AS f, max(page_number) AS p FROM chunks GROUP BY 1),
+j AS (SELECT m.*, c.text, (coalesce(trim(name), '') = '' OR coalesce(trim(m.chunk_id), '') = '' OR coalesce(trim(m.f), '') = '' OR coalesce(trim(ev), '') = '' OR NOT coalesce(m.p >= 1, false) OR NOT coalesce(c BETWEEN 0 AND 1, false)) AS shape,
+  NOT (m.f IS NOT DISTINCT FROM c.f AND m.p IS NOT DISTINCT FROM c.p) AS other, NOT coalesce(contains(c.text, ev), false) AS far FROM m LEFT JOIN c USING (chunk_id)),
+e AS (SELECT *, CASE WHEN shape THEN 'ENTITY_MODEL_INVALID' WHEN other THEN 'PROVENANCE_MISMATCH' WHEN far THEN 'EVIDENCE_NOT_IN_CHUNK' WHEN NOT coalesce(regexp_matches(cid, '^company:[A-Z]{{4,6}}$'), false) THEN 'SCHEMA_VALIDATION_FAILED' END AS person,
+  CASE WHEN shape THEN 'ENTITY_MODEL_INVALID' WHEN other THEN 'PROVENANCE_MISMATCH' WHEN far THEN 'EVIDENCE_NOT_IN_CHUNK' END AS company,
+  CASE WHEN shape THEN 'RELATION_MODEL_INVALID' WHEN other THEN 'PROVENANCE_MISMATCH' WHEN far THEN 'EVIDENCE_NOT_IN_CHUNK' WHEN NOT coalesce(regexp_matches(cid, '^company:[A-Z]{{4,6}}$'), false) THEN 'ENTITY_REFERENCE_NOT_FOUND' END AS role FROM j)
+SELECT record_kind, coalesce(reason_code, 'accepted') AS outcome, count(*) AS rows FROM (SELECT 'entity' AS record_kind, person AS reason_code FROM e UNION ALL SELECT 'entity', company FROM e UNION ALL SELECT 'relation', role FROM e) GROUP BY 1, 2"""
+
+
+def _responses(spark, sf):
+    e = table(spark, sf, "input_entities").where("type = 'Person'")
+    e = e.select("id", F.col("canonical_name").alias("name"), F.try_element_at("properties", F.lit("company_id")).alias("cid"), F.col("source_chunk_id").alias("chunk_id"), F.regexp_replace("source_file", "^.*[:/]", "").alias("f"), F.col("page_number").alias("p"), F.col("evidence_text").alias("ev"), F.col("confidence").alias("c")).distinct()
+    proof = [F.col("chunk_id").alias("source_chunk_id"), F.col("f").alias("source_file"), F.col("p").alias("page_number"), F.col("ev").alias("evidence_text"), F.col("c").alias("confidence")]
+    one = lambda ref, kind: F.struct(F.lit(ref).alias("ref"), F.lit(kind).alias("type"), F.col("name").alias("canonical_name"), F.create_map(F.lit("name"), F.coalesce("name", F.lit("")), F.lit("company_id"), F.coalesce("cid", F.lit(""))).alias("properties"), *proof)
+    role = F.struct(F.lit("HOLDS_ROLE_AT").alias("type"), F.lit("e1").alias("source_ref"), F.lit("e2").alias("target_ref"), *proof)
+    answer = F.to_json(F.struct(F.array(one("e1", "Person"), one("e2", "Company")).alias("entities"), F.array(role).alias("relations")))
+    return e.select(F.xxhash64(*e.columns).alias("response_id"), "chunk_id", answer.alias("response"))
+
+
+@query(_EXTRACT)
+def extraction(spark, sf):
+    from reportloom.operators import extract
+
+    good, rel, bad = extract.accept(_responses(spark, sf), table(spark, sf, "chunks"))
+    rows = good.select(F.lit("entity").alias("record_kind"), F.lit("accepted").alias("outcome")).unionByName(rel.select(F.lit("relation").alias("record_kind"), F.lit("accepted").alias("outcome"))).unionByName(bad.select("record_kind", F.col("reason_code").alias("outcome")))
+    return rows.groupBy("record_kind", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- workflow ---------------------------------------------------------------------------------------------------
 
 _STEPS = ", ".join(f"('{k}', {s}, '{t}', {n}::INT[])" for k, steps in W.PLANS.items() for s, t, n in steps)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
-from reportloom.operators import chunking, evals, graph, ordering, ranking, references, resolve, skew, units, vectors, workflow
+from reportloom.operators import chunking, evals, extract, graph, ordering, ranking, references, resolve, skew, units, vectors, workflow
 from reportloom.sources import records
 
 
@@ -244,3 +244,33 @@ def test_llm_is_optional():
 def test_sentences_keep_leading_digits(spark):
     d = spark.createDataFrame([("0 a. 1 b. 22 c! d",), (None,)], "t string")
     assert [r[0] for r in d.select(T.sentences("t")).collect()] == [["0 a.", "1 b.", "22 c!", "d"], []]
+
+
+def test_extraction_reasons(spark):
+    import json
+
+    proof = {"source_chunk_id": "c", "source_file": "f", "page_number": 1, "evidence_text": "Ali Kaya", "confidence": 0.9}
+    p = {"name": "Ali Kaya", "company_id": "company:ABCDE"}
+    ent = lambda **k: {"ref": "p", "type": "Person", "canonical_name": "Ali Kaya", "properties": p, **proof, **k}
+    rel = lambda **k: {"type": "HOLDS_ROLE_AT", "source_ref": "p", "target_ref": "q", "properties": {}, **proof, **k}
+    firm = ent(ref="q", type="Company")
+    cases = {
+        1: ([ent(), firm], [rel()]), 2: ([ent(), ent()], []), 3: ([ent(type="Alien")], []), 4: ([ent(page_number=2)], []), 5: ([ent(evidence_text="Veli")], []), 6: ([ent(properties={"name": "x"})], []), 7: ([ent(confidence=2.0)], []),
+        8: ([ent()], [rel()]), 9: ([ent(), firm], [rel(type="EATS")]), 10: ([ent(), firm], [rel(type="OFFERS")]), 11: ([ent(), firm], [rel(source_ref=" ")]),
+    }
+    data = [(k, "c", json.dumps({"entities": a, "relations": b})) for k, (a, b) in cases.items()] + [(12, "c", "{no json"), (13, "c", "{}"), (14, "c", None), (15, "zz", json.dumps({"entities": [ent()], "relations": []}))]
+    chunks = spark.createDataFrame([("c", "Ali Kaya genel müdür oldu", "f", 1), ("n", None, None, None)], "chunk_id string, text string, source_file string, page_number int")
+    good, rels, bad = extract.accept(spark.createDataFrame(data, "response_id long, chunk_id string, response string"), chunks)
+    assert {(r.response_id, r.record_kind, r.candidate_index): r.reason_code for r in bad.collect()} == {
+        (2, "entity", 1): "DUPLICATE_REF", (3, "entity", 0): "UNKNOWN_NODE_TYPE", (4, "entity", 0): "PROVENANCE_MISMATCH", (5, "entity", 0): "EVIDENCE_NOT_IN_CHUNK", (6, "entity", 0): "SCHEMA_VALIDATION_FAILED",
+        (7, "entity", 0): "ENTITY_MODEL_INVALID", (8, "relation", 0): "ENTITY_REFERENCE_NOT_FOUND", (9, "relation", 0): "UNKNOWN_RELATION_TYPE", (10, "relation", 0): "SCHEMA_VALIDATION_FAILED", (11, "relation", 0): "RELATION_MODEL_INVALID",
+        (12, "chunk", None): "LLM_JSON_INVALID", (13, "chunk", None): "LLM_SHAPE_INVALID", (14, "chunk", None): "LLM_JSON_INVALID", (15, "entity", 0): "PROVENANCE_MISMATCH",
+    }
+    assert [r.response_id for r in rels.collect()] == [1] and good.count() == 10
+    assert all(x.count() == 0 for x in extract.accept(spark.createDataFrame([], "response_id long, chunk_id string, response string"), chunks))
+
+
+def test_provider_is_applied_in_batches(spark):
+    d = spark.createDataFrame([("a", "x"), ("b", None)], "k string, text string")
+    got = extract.with_provider(d, lambda s: s.fillna("none") + "!")
+    assert rows(got.select("k", "response")) == [("a", "x!"), ("b", "none!")]
