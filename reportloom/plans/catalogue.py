@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.plans import general, graphs, retrieval, texts
+from reportloom.plans import audits, general, graphs, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (general, texts, retrieval, graphs)
+MODULES = (general, texts, retrieval, graphs, audits)
 
 
 def queries() -> dict[str, Query]:
