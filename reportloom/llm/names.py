@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -212,7 +213,6 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
         official = stash.put(fan_out(c).mapInPandas(read, "alias_id string, cid string, scope string, key string, tokens string").where("key <> ''").select("cid", "scope", "tokens", node.alias("node")))
         nodes = nodes.unionByName(official.select("node", "scope", "tokens", F.lit(0).cast("bigint").alias("n"))).groupBy("node", "scope", "tokens").agg(F.sum("n").alias("n"))
     nodes = stash.put(nodes)
-    total = nodes.count()
     # at most a few tokens per name have a share of ESTABLISHED each, so this list has fewer than 4 / ESTABLISHED entries
     words = nodes.where(F.col("scope").startswith("P:")).select(F.explode(F.split("tokens", " ")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
     mentions = nodes.where(F.col("scope").startswith("P:")).agg(F.sum("n")).first()[0] or 0
@@ -221,35 +221,38 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(n, s, t, *x) for n, s, t in b.itertuples(index=False) for x in suffixes(t)]
-            yield pd.DataFrame(out, columns=["node", "scope", "tokens", "suffix", "other", "own", "second"])
-
-    entries = fan_out(nodes.select("node", "scope", "tokens")).mapInPandas(index, "node string, scope string, tokens string, suffix string, other string, own string, second string")
-    entries = stash.put(entries)
-    levels = [["scope", "suffix"], ["other"], ["own"], ["second"]]
-    key, rest, pairs = [], entries, None
-    for level in levels:
-        key = key + level
-        e = rest.select("node", "tokens", *key, *[c for x in levels for c in x if c not in key]).distinct()
-        sizes = e.groupBy(*key).agg(F.count_distinct("node").alias("_size"))
-        few = e.join(sizes.where(f"_size between 2 and {BLOCK}").drop("_size"), key).select("node", "tokens", *key).distinct()
-        own = few.select(*key, F.col("node").alias("a"), F.col("tokens").alias("ta")).join(few.select(*key, F.col("node").alias("b"), F.col("tokens").alias("tb")), key).where("a < b").select("a", "b", "ta", "tb")
-        pairs = own if pairs is None else pairs.unionByName(own)
-        rest = e.join(sizes.where(f"_size > {BLOCK}").drop("_size"), key)
+            out = [(n, s, *x) for n, s, t in b.itertuples(index=False) for x in suffixes(t)]
+            yield pd.DataFrame(out, columns=["node", "scope", "suffix", "other", "own", "second"])
+
+    rest = stash.put(fan_out(nodes.select("node", "scope", "tokens")).mapInPandas(index, "node string, scope string, suffix string, other string, own string, second string"))
+    key, pairs = ["scope", "suffix"], []
+    for refined in ("other", "own", "second", None):
+        # each level is written, so that no plan holds the levels before
+        sizes = stash.put(rest.groupBy(*key).agg(F.count_distinct("node").alias("_size")).where("_size > 1"))
+        few = rest.select("node", *key).distinct().join(sizes.where(f"_size <= {BLOCK}").select(*key), key)
+        pairs.append(stash.put(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), key).where("a < b").select("a", "b").distinct()))
+        if refined is None:
+            break
+        left = stash.put(rest.join(sizes.where(f"_size > {BLOCK}").select(*key), key))
+        stash.drop(rest)
+        stash.drop(sizes)
+        rest, key = left, [*key, refined]
+    candidates = reduce(DataFrame.unionByName, pairs).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = established.value
-        split = functools.lru_cache(4096)(str.split)
+        split = functools.lru_cache(4096)(lambda node: node.partition(SIGN)[2].split())
         for b in batches:
             out = []
-            for x, y, tx, ty in b.itertuples(index=False):
-                p, q = split(tx), split(ty)
+            for x, y in b.itertuples(index=False):
+                p, q = split(x), split(y)
                 level = (2 if same_company(p, q) else 0) if x.startswith("C:") else same_person(p, q, names)
                 if level:
                     out.append((x, y, level))
-            yield pd.DataFrame(out, columns=["a", "b", "level"])
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b", "level"])
 
-    links = stash.put(pairs.distinct().mapInPandas(compare, "a string, b string, level int"))
+    links = stash.put(candidates.mapInPandas(compare, "a string, b string, level int"))
     full = links.where("level = 2").select("a", "b")
     extra = None
     if canonical is not None:
