@@ -7,6 +7,8 @@ Only built-in columns and joins with tables of fixed size; no shuffle but the fi
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,19 +65,19 @@ def alias_table(spark: SparkSession) -> DataFrame:
     A phrase that is both a unit of the dimension and a scale word is the unit (m is metre for a
     length, million for money). The number of rows is fixed by UNITS and SCALES.
     """
-    u = spark.createDataFrame(UNITS, "dimension string, unit string, factor string, alias string").withColumn("alias", F.explode(F.split("alias", r"\|")))
-    s = spark.createDataFrame(SCALES, "scale string, word string").withColumn("word", F.explode(F.split("word", r"\|")))
-    both = u.crossJoin(s)  # two constant tables
-    none = F.lit(None).cast("string")
-    forms = [
-        u.select("dimension", F.col("alias").alias("phrase"), "unit", "factor", none.alias("scale"), F.lit(0).alias("p")),
-        u.select("dimension").distinct().crossJoin(s).select("dimension", F.col("word").alias("phrase"), none.alias("unit"), none.alias("factor"), "scale", F.lit(1).alias("p")),
-        both.select("dimension", F.concat_ws(" ", "word", "alias").alias("phrase"), "unit", "factor", "scale", F.lit(2).alias("p")),
-        both.select("dimension", F.concat_ws(" ", "alias", "word").alias("phrase"), "unit", "factor", "scale", F.lit(3).alias("p")),
-    ]
-    t = forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
-    first = t.groupBy("dimension", "phrase").agg(F.min_by(F.struct("unit", "factor", "scale"), "p").alias("x"))
-    return first.select("dimension", "phrase", F.col("x.unit").alias("stated_unit"), F.col("x.factor").cast(FACTOR).alias("stated_factor"), F.col("x.scale").cast(FACTOR).alias("stated_scale"))
+    units = [(d, u, Decimal(f), w) for d, u, f, names in UNITS for w in names.split("|")]
+    scales = [(Decimal(x), w) for x, names in SCALES for w in names.split("|")]
+    table: dict[tuple[str, str], tuple] = {}
+    for d, u, f, w in units:
+        table.setdefault((d, w), (u, f, None))
+    for d in sorted({x[0] for x in units}):
+        for x, w in scales:
+            table.setdefault((d, w), (None, None, x))
+    for first in (True, False):
+        for d, u, f, w in units:
+            for x, v in scales:
+                table.setdefault((d, f"{v} {w}" if first else f"{w} {v}"), (u, f, x))
+    return spark.createDataFrame([(*k, *v) for k, v in table.items()], f"dimension string, phrase string, stated_unit string, stated_factor {FACTOR}, stated_scale {FACTOR}")
 
 
 def unit_phrase(text: Column) -> Column:
