@@ -76,7 +76,8 @@ class Stash:
 def fan_out(df: DataFrame) -> DataFrame:
     """Spread a frame of few input splits over all cores before costly per-row work.
 
-    Frames that already have a split per core stay as they are: no shuffle at scale.
+    Frames that already have a split per core stay as they are: no shuffle at scale. Meant for frames that
+    come from a scan without a shuffle, as counting the splits of others would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
