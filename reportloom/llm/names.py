@@ -197,14 +197,14 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
     a = aliases.select(
         "alias_id", "entity_type", F.coalesce(F.when(F.trim("alias") != "", F.col("alias")), F.translate("normalized_alias", "_", " ")).alias("name"),
         F.coalesce(F.regexp_extract("source_file", r"([A-Za-z0-9]+)__", 1), F.lit("")).alias("ticker"), F.lower(F.trim("canonical_entity_id")).alias("cid"),
-    ).distinct()
+    )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, c, *((parse(k, n, t) if n else None) or ("", "", ""))) for i, k, n, t, c in b.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["alias_id", "cid", "scope", "key", "tokens"])
 
-    parsed = stash.put(fan_out(a).mapInPandas(read, "alias_id string, cid string, scope string, key string, tokens string"))
+    parsed = stash.put(fan_out(a).mapInPandas(read, "alias_id string, cid string, scope string, key string, tokens string").distinct())
     node = F.concat_ws(SIGN, "scope", "key")
     rows = parsed.where("key <> ''").select("alias_id", "cid", "scope", "tokens", node.alias("node"))
     nodes = rows.groupBy("node", "scope", "tokens").agg(F.count(F.lit(1)).alias("n"))
