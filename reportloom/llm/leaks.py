@@ -150,5 +150,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
                 rows.append((k, i, score, longest, len(iw)))
             yield pd.DataFrame(rows, columns=[doc_key, item_key, "score", "longest_run", "item_words"]).astype({doc_key: b[doc_key].dtype})
 
-    scored = texts.select(doc_key, item_key, "_doc", "_item").mapInPandas(align, out)
+    # little data but much work per row: a stated number of parts isn't coalesced
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scored = texts.select(doc_key, item_key, "_doc", "_item").repartition(tasks, doc_key, item_key).mapInPandas(align, out)
     return scored.groupBy(doc_key, item_key).agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
