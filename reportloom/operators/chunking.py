@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
+from reportloom.session import fan_out
 
 TARGET, OVERLAP, BLOCK = 500, 50, 300
 
@@ -17,15 +18,20 @@ def text_blocks(text: Column, block: int = BLOCK) -> Column:
     return F.flatten(F.transform(paragraphs, lambda p: F.when(T.token_count(p) > block, lines(p)).otherwise(F.array(p))))
 
 
-def pack_ranges(tokens: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Array of (first, last) block numbers (from 1) of the chunks packed from blocks with these token counts.
+def prefix_sums(tokens: Column) -> Column:
+    """0 and the running sums of an array."""
+    return F.aggregate(tokens, F.array(F.lit(0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+
+
+def pack_ranges(sums: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """Array of (first, last) block numbers (from 1) of the chunks packed from blocks, given the prefix sums of their token counts.
 
     Blocks are added until the next would exceed the target; the next chunk begins with the last blocks of the one
     before, up to the overlap but at least one, and takes the block that didn't fit in any case. An ordered fold over one row's
     array, without Python; the array is one document's.
     """
-    n = F.size(tokens)
-    total = lambda a, b: F.aggregate(F.slice(tokens, a, b - a + 1), F.lit(0), lambda s, x: s + x)
+    n = F.size(sums) - 1
+    total = lambda a, b: F.element_at(sums, b + 1) - F.element_at(sums, a)  # noqa: E731  tokens of blocks a to b
     start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
 
     def seed(first: Column, last: Column) -> Column:
@@ -33,7 +39,7 @@ def pack_ranges(tokens: Column, target: int = TARGET, overlap: int = OVERLAP) ->
         return F.coalesce(F.try_element_at(fits, F.lit(1)), last)
 
     def step(s: Column, i: Column) -> Column:
-        over = (s["last"] >= s["first"]) & (i > 1) & (total(s["first"], i) > target) & (s["last"] == i - 1)
+        over = (i > 1) & (total(s["first"], i) > target)
         return F.when(
             over, F.struct(seed(s["first"], i - 1).alias("first"), i.alias("last"), F.array_append(s["out"], F.struct(s["first"].alias("first"), (i - 1).alias("last"))).alias("out"))
         ).otherwise(F.struct(s["first"].alias("first"), i.alias("last"), s["out"].alias("out")))
@@ -47,8 +53,8 @@ def chunk_documents(docs: DataFrame, key: str, text: str, target: int = TARGET,
 
     chunk_index counts a document's chunks from 0. Null and empty texts give no rows; repeated rows repeat theirs.
     """
-    d = docs.select(F.col(key), text_blocks(F.col(text)).alias("_b")).where(F.size("_b") > 0)
-    d = d.withColumn("_t", F.transform("_b", T.token_count)).withColumn("_r", pack_ranges(F.col("_t"), target, overlap))
+    d = fan_out(docs.select(key, text)).select(F.col(key), text_blocks(F.col(text)).alias("_b")).where(F.size("_b") > 0)
+    d = d.withColumn("_t", F.transform("_b", T.token_count)).withColumn("_p", prefix_sums(F.col("_t"))).withColumn("_r", pack_ranges(F.col("_p"), target, overlap))
     d = d.withColumn("_c", F.transform("_r", lambda r: F.array_join(F.slice("_b", r["first"], r["last"] - r["first"] + 1), "\n\n")))
     c = d.select(key, F.posexplode(F.filter("_c", T.is_meaningful)).alias("chunk_index", "text"))
     return c.select(key, "chunk_index", T.chunk_hash(F.col(key).cast("string"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "text", T.token_count("text").alias("token_count"))
