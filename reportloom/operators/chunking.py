@@ -53,7 +53,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, target: int = TARGET,
 
     chunk_index counts a document's chunks from 0. Null and empty texts give no rows; repeated rows repeat theirs.
     """
-    d = fan_out(docs.select(key, text)).select(F.col(key), text_blocks(F.col(text)).alias("_b")).where(F.size("_b") > 0)
+    d = fan_out(docs.select(key, text)).select(F.col(key), text_blocks(F.col(text)).alias("_b"))
     d = d.withColumn("_t", F.transform("_b", T.token_count)).withColumn("_p", prefix_sums(F.col("_t"))).withColumn("_r", pack_ranges(F.col("_p"), target, overlap))
     d = d.withColumn("_c", F.transform("_r", lambda r: F.array_join(F.slice("_b", r["first"], r["last"] - r["first"] + 1), "\n\n")))
     c = d.select(key, F.posexplode(F.filter("_c", T.is_meaningful)).alias("chunk_index", "text"))

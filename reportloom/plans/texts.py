@@ -10,7 +10,7 @@ from reportloom.operators import chunking as K
 from reportloom.operators import resolve as R
 from reportloom.operators import workflow as W
 from reportloom.plans import snippets as S
-from reportloom.session import table
+from reportloom.session import fan_out, table
 from reportloom.sources import records
 
 QUERIES, SQL = {}, {}
@@ -58,19 +58,20 @@ packed AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k)
 
 
 def _long_chunks(spark, sf):
-    return table(spark, sf, "chunks").select("chunk_id", "text").distinct()
+    return table(spark, sf, "chunks").select("chunk_id", "text")
 
 
 @query(_BLOCKS + "SELECT chunk_id, count(*) AS blocks, max(t) AS longest, sum(t)::BIGINT AS tokens FROM n GROUP BY 1")
 def sentence_blocks(spark, sf):
-    b = _long_chunks(spark, sf).select("chunk_id", F.explode(K.text_blocks(F.col("text"))).alias("b")).select("chunk_id", T.token_count("b").alias("t"))
-    return b.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("blocks"), F.max("t").alias("longest"), F.sum("t").alias("tokens"))
+    # repeated rows are dropped after the costly step, which stays where the rows are read
+    b = fan_out(_long_chunks(spark, sf)).select("chunk_id", F.xxhash64("text").alias("h"), F.transform(K.text_blocks(F.col("text")), T.token_count).alias("t")).distinct()
+    return b.select("chunk_id", F.explode("t").alias("t")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("blocks"), F.max("t").alias("longest"), F.sum("t").alias("tokens"))
 
 
 @query(_BLOCKS + f"SELECT chunk_id AS source_id, chunk_index, left(sha256(chunk_id || ':' || chunk_index || ':' || trim(text)), 16) AS chunk_id, {S.tokens('text')} AS token_count, length(text) AS chars FROM packed")
 def chunk_pack(spark, sf):
     c = K.chunk_documents(_long_chunks(spark, sf).withColumnRenamed("chunk_id", "source_id"), "source_id", "text")
-    return c.select("source_id", "chunk_index", "chunk_id", "token_count", F.length("text").alias("chars"))
+    return c.select("source_id", "chunk_index", "chunk_id", "token_count", F.length("text").alias("chars")).distinct()
 
 
 @query("SELECT count(*) AS chunks, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 2) AS mean FROM chunks")
