@@ -177,19 +177,19 @@ _NAMES = "SELECT key, type, company, name, list_distinct(list_filter(string_spli
 
 
 def _mentions(spark, sf):
-    e = table(spark, sf, "input_entities").where("type IN ('Person', 'Company')")
+    e = table(spark, sf, "input_entities")
     return e.groupBy("type", F.coalesce(F.try_element_at("properties", F.lit("company_id")), F.lit("")).alias("company"), F.col("canonical_name").alias("name")).agg(F.min("id").alias("key")).where("name IS NOT NULL")
 
 
 def mention_pairs(spark, sf):
-    return R.candidate_pairs(_mentions(spark, sf))
+    return R.similar_pairs(_mentions(spark, sf))
 
 
 QUERIES["mention_pairs"] = mention_pairs
 
 
 def pair_class(spark, sf):
-    p = R.candidate_pairs(_mentions(spark, sf)).withColumn("similarity", R.name_similarity(T.lower_tr("name_a"), T.lower_tr("name_b")))
+    p = R.similar_pairs(_mentions(spark, sf)).withColumn("similarity", R.name_similarity(T.lower_tr("name_a"), T.lower_tr("name_b")))
     same = T.ascii_key("name_a") == T.ascii_key("name_b")
     return p.select("a", "b", "type", "similarity", R.pair_class(F.col("type"), F.col("similarity"), F.lit(1.0), same, F.lit(0)).alias("match_class"))
 

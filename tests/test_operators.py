@@ -163,6 +163,21 @@ def test_candidate_pairs_share_a_word(spark):
     assert rows(resolve.candidate_pairs(m).select("a", "b")) == [("1", "2")]
 
 
+def test_similar_pairs_are_all_pairs_of_a_type(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "NAME_BLOCK", 5)
+    names = ["Ali Kaya", "ALİ KAYA", "Alu Kayo", "A. Kaya", "Zeynep", "Zeynap", "Net Satış", "NET SATIS", "Kar", "Öçş", "ocs", "x" * 70 + " Ltd", "x" * 70 + " AS", "Kaya Ali Demir Oğlu", "Oğlu Demir Ali Kaya", "b", ""]
+    data = [(f"{i * 7 % 101:03d}", t, c, n) for i, (t, c, n) in enumerate(itertools.product(["Person", "Company", "Product", "FinancialMetric"], ["c", "d"], names)) if i < 101]
+    m = spark.createDataFrame(data + [("zzz", "Person", "c", None)], "key string, type string, company string, name string")
+    low = {r.key: (r.n, r.k) for r in m.where("name IS NOT NULL").select("key", T.lower_tr("name").alias("n"), T.ascii_key("name").alias("k")).collect()}
+
+    def alike(x, y):
+        r, p, q = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0, set(x.split()), set(y.split())
+        return max(r, 0.65 * r + 0.35 * len(p & q) / max(len(p | q), 1)) >= 0.55
+
+    want = [(a[0], b[0]) for a, b in itertools.product(data, data) if a[0] < b[0] and a[1] == b[1] and (low[a[0]][1] == low[b[0]][1] or a[1] == "Company" and a[2] == b[2] or alike(low[a[0]][0], low[b[0]][0]))]
+    assert rows(resolve.similar_pairs(m).select("a", "b")) == sorted(want, key=repr)
+
+
 def test_metric_values(spark):
     d = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["b", "z"]), ([], ["a"]), (["a"], []), (["a", "a"], ["a"])], "g array<string>, t array<string>")
     g, t = F.col("g"), F.col("t")
