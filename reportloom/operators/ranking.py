@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
+from reportloom.session import Stash
 
 # Weights of the base score, penalty of a chosen neighbour, similarity from which texts repeat each other.
 W_VECTOR, W_LEXICAL, W_METADATA = 0.5, 0.3, 0.2
@@ -116,6 +117,49 @@ def greedy_distinct(rows: DataFrame, group: list[str], key: str, text: str, orde
     return g.select(*group, F.explode(kept).alias("x")).select(*group, F.col("x.key").alias(key))
 
 
+def greedy_distinct_all(rows: DataFrame, key: str, text: str, limit: float) -> DataFrame:
+    """(key) of the rows kept in the order of their keys unless their words are `limit` or more alike to those of any row kept before.
+
+    As greedy_distinct, over the whole table. Rows of the same words are one node, as only the first of them can stay. Nodes that
+    can be alike share one of their rarest words: a node of n words has n - ceil(limit n) + 1 of them, so no pair is lost; upper
+    bounds of the words in common leave few pairs for the exact comparison. Then in rounds: nodes without an earlier alike node stay, those alike to them go, until no pair is left. Rows without words all stay.
+    Writes its steps to the shared folder when called.
+    """
+    stash = Stash(rows.sparkSession, "distinct")
+    r = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.array_sort(blank_words(text)).alias("words"))
+    sets = r.where(F.size("words") > 0).groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("hash")).agg(F.min("key").alias("key"), F.first("words").alias("words"))
+    nodes = stash.put(sets.select(F.monotonically_increasing_id().alias("id"), "hash", "key", "words", F.size("words").alias("n")))
+    w = nodes.select("id", "n", F.explode("words").alias("w"))
+    rated = w.join(w.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").withColumn("h", F.xxhash64("w"))
+    # parities of the words' hashes in 256 bits: two nodes differ in as many words at least as in bits
+    bits = [F.bit_xor(F.when(F.expr(f"pmod(h, 256) div 64 = {k}"), F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(4)]
+    each = rated.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("x"), *bits)
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(limit) - F.lit(1e-9)).cast("int") + 1
+    each = each.select("id", "n", "b0", "b1", "b2", "b3", F.posexplode(F.slice("x", F.lit(1), length)).alias("at", "x"))
+    first = stash.put(each.select("id", "n", "b0", "b1", "b2", "b3", "at", F.xxhash64("x.w").alias("w")))
+    x, y = (first.select("w", *[F.col(c).alias(f"{c}_{i}") for c in first.columns if c != "w"]) for i in "xy")
+    both = F.col("n_x") + F.col("n_y")
+    common = both * F.lit(limit / (1 + limit)) - F.lit(1e-6)  # words in common at least
+    differ = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(4)), F.lit(0))
+    # at the first word in common, the words after it on either side bound those in common
+    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    near = (F.col("id_x") < F.col("id_y")) & (F.least("n_x", "n_y") >= common) & (rest >= common) & (differ <= both - 2 * common)
+    pairs = x.join(y, "w").where(near).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
+    side = lambda i: nodes.select(F.col("id").alias(i), F.struct("key", "hash", "id").alias(f"o_{i}"), F.col("words").alias(f"w_{i}"))
+    pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(jaccard(F.col("w_x"), F.col("w_y")) >= limit)
+    left = stash.put(pairs.select(F.least("o_x", "o_y")["id"].alias("a"), F.greatest("o_x", "o_y")["id"].alias("b")))
+    gone = []
+    while left.limit(1).count():
+        stays = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone.append(stash.put(left.join(stays, "a", "left_semi").select(F.col("b").alias("id")).distinct()))
+        rest = left.join(gone[-1].withColumnRenamed("id", "a"), "a", "left_anti").join(gone[-1].withColumnRenamed("id", "b"), "b", "left_anti")
+        rest = stash.put(rest.select("a", "b"))
+        stash.drop(left)
+        left = rest
+    kept = nodes.join(reduce(DataFrame.unionByName, gone), "id", "left_anti") if gone else nodes
+    return kept.select(F.col("key").alias(key)).unionByName(r.where(F.size("words") == 0).select(F.col("key").alias(key)))
+
+
 def within_budget(rows: DataFrame, group: str, order: list, size: Column, budget: int) -> DataFrame:
     """Rows of each group in order while their running size is within the budget; the first is always kept."""
     w = Window.partitionBy(group).orderBy(*order)

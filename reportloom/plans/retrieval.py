@@ -223,6 +223,14 @@ def near_dup_greedy(spark, sf):
     return K.greedy_distinct(g, ["golden_id"], "item_id", "text", F.struct("item_id"), 0.85)
 
 
+def near_dup_documents(spark, sf):
+    # the whole table, where near_dup_greedy and its SQL keep to blocks
+    return K.greedy_distinct_all(table(spark, sf, "documents"), "doc_id", "text", 0.85)
+
+
+QUERIES["near_dup_documents"] = near_dup_documents
+
+
 # --- retrieval metrics: the true rows of a vector query are the rows of its label among its ten best by dot product ---
 
 _TRUTH = _PAIR + """, truth AS (SELECT t.query_id, list(t.vec_id ORDER BY t.rank) AS truth FROM top2 t JOIN embeddings a ON a.vec_id = t.query_id JOIN embeddings b ON b.vec_id = t.vec_id WHERE a.label = b.label GROUP BY 1),

@@ -178,6 +178,22 @@ def test_similar_pairs_are_all_pairs_of_a_type(spark, monkeypatch):
     assert rows(resolve.similar_pairs(m).select("a", "b")) == sorted(want, key=repr)
 
 
+def test_greedy_distinct_over_the_whole_table(spark):
+    rng = np.random.default_rng(5)
+    # a chain of drifting texts, so that a row alike only to a dropped one stays; other texts between; copies, empty and null ones
+    texts = [" ".join(f"w{j}" for j in range(i, i + 20)) for i in range(25)] + [" ".join(f"w{j}" for j in rng.integers(0, 12, 9)) for _ in range(60)]
+    texts = [texts[i] for i in rng.permutation(len(texts))] + ["", " ", None, texts[3], texts[3].upper(), "one", "One two", "two ONE"]
+    kept, want = [], []
+    for i, t in enumerate(texts):
+        w = set((t or "").lower().split())
+        if t is not None and not any(w and k and len(w & k) / len(w | k) >= 0.85 for k in kept):
+            kept.append(w)
+            want.append((i,))
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert rows(ranking.greedy_distinct_all(d, "i", "t", 0.85)) == sorted(want, key=repr)
+    assert ranking.greedy_distinct_all(d.limit(0), "i", "t", 0.85).count() == 0
+
+
 def test_metric_values(spark):
     d = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["b", "z"]), ([], ["a"]), (["a"], []), (["a", "a"], ["a"])], "g array<string>, t array<string>")
     g, t = F.col("g"), F.col("t")
