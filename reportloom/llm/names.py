@@ -1,8 +1,8 @@
 """Spellings of names typed by people, linked to the entity they mean.
 
 Method: suffix blocking. The suffixes of a name's tokens from a minimum length are indexed; a suffix that is too common is
-refined with other fields first (initials of the other and of the same token, then its second letter), and only what is still too common
-is left to the name's other suffixes. Pairs in a block are compared by the ratio of the longest common subsequence.
+refined with other fields first (initials of the other and of the same token, then its second letter), and what is still too common
+is compared whole, part against part. Pairs in a block are compared by the ratio of the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from reportloom.llm.components import connected_groups
 from reportloom.llm.words import fold
 from reportloom.session import Stash, fan_out
 
-#: Shortest suffix in the index; names that a block holds at most before it is refined.
-MIN_SUFFIX, BLOCK = 4, 50
+#: Shortest suffix in the index; names that a block holds at most before it is refined; about how many names of a block that can't be refined further are in a part.
+MIN_SUFFIX, BLOCK, PART = 4, 50, 1000
 #: Ratios from which tokens, persons and companies agree.
 TOKEN, PERSON, COMPANY = 0.72, 0.84, 0.88
 #: A token that this share of all names has is an established spelling: two of them are two names, however alike.
@@ -229,9 +229,15 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
     for refined in ("other", "own", "second", None):
         # each level is written, so that no plan holds the levels before
         sizes = stash.put(rest.groupBy(*key).agg(F.count_distinct("node").alias("_size")).where("_size > 1"))
-        few = rest.select("node", *key).distinct().join(sizes.where(f"_size <= {BLOCK}").select(*key), key)
+        own = rest.select("node", *key).distinct().join(sizes, key)
+        few = own.where(f"_size <= {BLOCK}").drop("_size")
         pairs.append(stash.put(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), key).where("a < b").select("a", "b").distinct()))
         if refined is None:
+            # blocks that stay large: each part meets itself and every later one, so all pairs are compared
+            parts = own.where(f"_size > {BLOCK}").withColumn("_last", F.ceil(F.col("_size") / PART).cast("int") - 1).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_last") + 1).cast("int"))
+            x = parts.select(*key, F.col("node").alias("x"), F.col("_part").alias("p"), F.explode(F.sequence("_part", "_last")).alias("q"))
+            y = parts.select(*key, F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "_part")).alias("p"), F.col("_part").alias("q"))
+            pairs.append(stash.put(x.join(y, [*key, "p", "q"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
             break
         left = stash.put(rest.join(sizes.where(f"_size > {BLOCK}").select(*key), key))
         stash.drop(rest)

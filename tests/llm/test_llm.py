@@ -111,6 +111,17 @@ def test_link_names(spark):
     assert names.link_names(spark, spark.createDataFrame([], ALIAS)).count() == 0
 
 
+@pytest.mark.parametrize("part", [7, 1000])
+def test_large_blocks_are_compared_whole(spark, monkeypatch, part):
+    monkeypatch.setattr(names, "PART", part, raising=False)
+    rng = random.Random(2)
+    # the surname's blocks stay large after every refinement, and no other suffix holds the first two names
+    others = ["m" + "".join(rng.choice("bcdfghjklnpqrstvwxz") for _ in range(9)) for _ in range(names.BLOCK + 10)]
+    d = [(f"a{i}", f"{g.capitalize()} Yilmaz", "Person") for i, g in enumerate(["mehmet", "mexmet", *others])]
+    a = spark.createDataFrame(d, "alias_id string, alias string, entity_type string").select("*", F.lit("").alias("normalized_alias"), F.lit("data/T__2020__x.pdf").alias("source_file"), F.lit("").alias("canonical_entity_id"))
+    assert ("a0", "a1") in rows(names.linked_pairs(names.link_names(spark, a)))
+
+
 def test_known_links_are_found(spark):
     a = table(spark, SF2, "aliases")
     p = names.link_names(spark, a).join(a.select("alias_id", F.lower(F.trim("canonical_entity_id")).alias("cid")).distinct(), "alias_id").where("cid <> '' AND cid NOT LIKE '%kayip%'")
