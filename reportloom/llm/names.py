@@ -24,8 +24,9 @@ from reportloom.session import Stash, fan_out
 MIN_SUFFIX, BLOCK, PART = 4, 50, 1000
 #: Ratios from which tokens, persons and companies agree.
 TOKEN, PERSON, COMPANY = 0.72, 0.84, 0.88
-#: A token that this share of all names has is an established spelling: two of them are two names, however alike.
-ESTABLISHED = 0.001
+#: A token is an established spelling (two of them are two names, however alike) if it has this share of all mentions besides those of
+#: its most frequent bearers, and so many sorts of bearers: persons of one ticker with one initial of the surname or given name beside it.
+ESTABLISHED, BEARERS = 0.001, 4
 
 # Forms of address and offices that are no part of a person's name.
 TITLES = set("prof dr doc av sn sayin mr mrs ms ceo cfo coo genel mudur muduru yonetim kurulu uyesi baskani head of audit board member director chief executive financial officer".split())
@@ -213,10 +214,15 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
         official = stash.put(fan_out(c).mapInPandas(read, "alias_id string, cid string, scope string, key string, tokens string").where("key <> ''").select("cid", "scope", "tokens", node.alias("node")))
         nodes = nodes.unionByName(official.select("node", "scope", "tokens", F.lit(0).cast("bigint").alias("n"))).groupBy("node", "scope", "tokens").agg(F.sum("n").alias("n"))
     nodes = stash.put(nodes)
-    # at most a few tokens per name have a share of ESTABLISHED each, so this list has fewer than 4 / ESTABLISHED entries
-    words = nodes.where(F.col("scope").startswith("P:")).select(F.explode(F.split("tokens", " ")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    mentions = nodes.where(F.col("scope").startswith("P:")).agg(F.sum("n")).first()[0] or 0
-    known = [r.w for r in words.where(F.col("n") >= max(8.0, ESTABLISHED * mentions)).orderBy(F.desc("n"), "w").limit(int(4 / ESTABLISHED)).collect()]
+    # mentions by bearers, so that the misspellings of one person are no names, however often that person is named
+    part = nodes.where(F.col("scope").startswith("P:")).select("scope", "n", F.split("tokens", " ").alias("t"))
+    each = part.select("scope", "n", "t", F.posexplode("t").alias("i", "w"))
+    other = F.substring(F.when(F.col("i") + 1 < F.size("t"), F.element_at("t", -1)).otherwise(F.element_at("t", 1)), 1, 1)
+    words = each.groupBy("w", "scope", other.alias("o")).agg(F.sum("n").alias("n")).where("n > 0").groupBy("w").agg((F.sum("n") - F.max("n")).alias("n"), F.count(F.lit(1)).alias("bearers"))
+    held = part.groupBy("scope", F.substring(F.element_at("t", -1), 1, 1).alias("o")).agg(F.sum("n").alias("n"))
+    mentions = held.agg(F.sum("n") - F.max("n")).first()[0] or 0
+    # a name has a few tokens, so if no sort of bearers holds most mentions this list has fewer than 8 / ESTABLISHED entries
+    known = [r.w for r in words.where((F.col("n") >= ESTABLISHED * mentions) & (F.col("bearers") >= BEARERS)).orderBy(F.desc("n"), "w").limit(int(8 / ESTABLISHED)).collect()]
     established = spark.sparkContext.broadcast(frozenset(known))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

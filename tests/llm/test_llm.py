@@ -122,6 +122,16 @@ def test_large_blocks_are_compared_whole(spark, monkeypatch, part):
     assert ("a0", "a1") in rows(names.linked_pairs(names.link_names(spark, a)))
 
 
+def test_misspellings_of_a_frequent_person_are_no_names(spark):
+    # one person with a third of the rows, each misspelling often; Mehmet and Ahmet are names that many have
+    hot = [("mehmet", 300), ("mehmt", 60), ("mehmed", 60), ("emhmet", 60)]
+    d = [(f"h{k}{i}", f"{g.capitalize()} Korkmaz", "T0") for k, (g, n) in enumerate(hot) for i in range(n)]
+    d += [(f"{g}{i}{s}", f"{g.capitalize()} {s}", f"T{i}") for i in range(1, 41) for g in ("mehmet", "ahmet") for s in ("Bulut", "Cetin", "Duman", "Ergin", "Gunes", "Irmak")]
+    a = spark.createDataFrame(d, "alias_id string, alias string, ticker string").select("alias_id", "alias", F.lit("Person").alias("entity_type"), F.lit("").alias("normalized_alias"), F.concat(F.lit("data/"), "ticker", F.lit("__2020__x.pdf")).alias("source_file"), F.lit("").alias("canonical_entity_id"))
+    got = {r.alias_id: r.entity_id for r in names.link_names(spark, a).collect()}
+    assert len({e for i, e in got.items() if i[0] == "h"}) == 1 and got["mehmet1Bulut"] != got["ahmet1Bulut"] and len(set(got.values())) == 1 + 40 * 12
+
+
 def test_known_links_are_found(spark):
     a = table(spark, SF2, "aliases")
     p = names.link_names(spark, a).join(a.select("alias_id", F.lower(F.trim("canonical_entity_id")).alias("cid")).distinct(), "alias_id").where("cid <> '' AND cid NOT LIKE '%kayip%'")
