@@ -59,16 +59,16 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf: str, edited: bool = True) -> DataFrame:
     from reportloom.llm.leaks import find_leaks
 
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), edited=edited)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     from reportloom.llm.leaks import RUN
 
-    return _leaks(spark, sf).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+    return _leaks(spark, sf, edited=False).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Method: rare n-gram seeds join corpus passages to test items, then Smith-Waterman alignment scores
 paraphrased or edited copies. Of every window of `run` consecutive words of an item, the n-gram that is rarest
 among the documents is a seed, so any document that holds such a window holds a seed of it: no exact leak is lost. For
-edited copies, which may keep none of those, all other n-grams that are rare among items and documents are seeds too.
+edited copies, which may keep none of those, every n-gram of an item is a seed, however many items and documents hold it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from reportloom.session import Stash, fan_out
 
 #: Words that count as a leak when consecutive, and words of a seed.
 RUN, SEED = 12, 5
-#: An n-gram of at most so many items and so many documents is rare: a seed even if it isn't its window's rarest.
-RARE_ITEMS, RARE_DOCS = 5, 100
 #: Keys of candidate documents that are broadcast at most, to leave the other documents' texts where they are.
 BROADCAST_KEYS = 500_000
 #: Bits of the filter that spares the corpus' n-grams the shuffle: 4 MB, whatever the number of seeds.
@@ -55,11 +53,12 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(FILTER_BITS - 1)), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", run: int = RUN, seed: int = SEED) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", run: int = RUN, seed: int = SEED, edited: bool = True) -> DataFrame:
     """(doc_key, item_key, score, longest_run, item_words) of each document and item that share a seed.
 
     score is the best Smith-Waterman alignment by words around the shared seeds, longest_run the most consecutive
-    words in common. Words are runs of letters and digits, without case and accents. Texts that are null,
+    words in common. Without `edited` only the seeds for `run` words running are used: those leaks are complete, copies with
+    shorter runs are not. Words are runs of letters and digits, without case and accents. Texts that are null,
     empty or shorter than `seed` words leak nothing; items of fewer than `run` words are seeded as one window.
     Repeated rows and repeated keys with other texts count once per key (best score). Empty tables give no rows.
     Runs its first steps when called: the seeds and the documents' n-grams that meet them are tables in the shared folder.
@@ -120,9 +119,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     width = run - seed + 1
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("x") - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda w: F.struct(w["n"].alias("n"), w["df"].alias("df"), w["g"].alias("g"))))["g"])
     chosen = lists.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g"))
-    rare = rated.where((F.col("df") <= RARE_ITEMS) & F.col("n").between(1, RARE_DOCS)).select(F.col("k").alias(item_key), "g")
+    seeds = rated.where("n > 0").select(F.col("k").alias(item_key), "g").distinct() if edited else chosen.distinct()
     # a seed that a third of the documents hold: the items' side of it is short, the documents' side is split by AQE
-    pairs = hits.join(chosen.unionByName(rare).distinct(), "g").select(doc_key, item_key).distinct()
+    pairs = hits.join(seeds, "g").select(doc_key, item_key).distinct()
     pairs = stash.put(pairs)
     ids = pairs.select(doc_key).distinct()
     if ids.count() <= BROADCAST_KEYS:  # else documents are shuffled whole to meet their pairs

@@ -252,6 +252,16 @@ def test_leaks_edited_and_folded(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_edited_copies_of_a_frequent_passage(spark):
+    # a passage of eight items in 120 documents, and an edited copy that keeps only a frequent run of it
+    passage = [f"p{j}" for j in range(16)]
+    copy = passage[:6] + ["x"] + passage[7:12] + ["y"]
+    docs = spark.createDataFrame([(i, " ".join(passage)) for i in range(120)] + [(999, " ".join(copy))], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{k}", " ".join([*passage, *(f"q{k}_{j}" for j in range(3))])) for k in range(8)], "item_id string, text string")
+    got = leaks.find_leaks(docs, items).where(f"score >= {leaks.MIN_SCORE}")
+    assert rows(got.where("doc_id = 999").select("item_id")) == [(f"i{k}",) for k in range(8)] and got.count() == 121 * 8
+
+
 def test_smith_waterman_against_plain_recursion():
     r = random.Random(7)
     for _ in range(100):
