@@ -1,14 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-Method: tree concatenation. A long text is cut into pieces that are encoded in parallel; pieces are then
-concatenated pairwise, in levels, and where two meet at a place that may have merged, a growing window
-around the join is encoded again until it agrees with both sides exactly.
+Method: tree concatenation. A text is halved down to pieces of a few hundred characters, pieces are encoded, in parallel
+where a text is long, and concatenated pairwise, level by level: where two meet, a growing window around the join is encoded
+again until it agrees with both sides exactly.
 
 Why agreement is enough: a token sequence is the BPE encoding of its bytes if and only if each pair of
 neighbours is the encoding of its own bytes. Left and right are encodings, so their pairs are sound; the
 window is one, so its pairs are; and where the window's outer tokens equal those it replaces, the pairs
-across its edges are sound too. Before a blank that follows a non-blank, the splitting pattern always starts
-anew, so cuts there need no window at all.
+across its edges are sound too.
 """
 
 from __future__ import annotations
@@ -29,9 +28,9 @@ from reportloom.session import fan_out
 TOKENIZERS = os.environ.get("REPORTLOOM_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the splitting pattern that belongs to the byte_bpe_50k vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of more characters are encoded in pieces of about this size.
-PIECE = 1 << 16
-#: Pieces concatenated in one task of the first level.
+#: Texts of more characters are halved; most documents are. Characters of the stretches of a long text that different tasks encode.
+PIECE, STRETCH = 256, 1 << 16
+#: Stretches concatenated in one task of the first level.
 FAN_IN = 64
 #: Outer tokens on either side in which a window must agree.
 AGREE = 4
@@ -71,84 +70,74 @@ def concatenate(left: list[int], right: list[int], encode, of: dict[int, bytes])
         k *= 2
 
 
-def cut(text: str, size: int = PIECE) -> list[tuple[str, bool]]:
-    """Pieces of about `size` characters, and whether each may be put after the one before without a window."""
-    out, start, safe = [], 0, True
-    while len(text) - start > size * 3 // 2:
-        target = start + size
-        at, found = target, False
-        for d in range(size // 4):
-            for p in (target - d, target + d):
-                if text[p].isspace() and not text[p - 1].isspace() and text[p] not in "\x1c\x1d\x1e\x1f":
-                    at, found = p, True
-                    break
-            if found:
-                break
-        out.append((text[start:at], safe))
-        start, safe = at, found
-    return [*out, (text[start:], safe)]
-
-
-def merge_pieces(pieces: list[list[int]], safe: list[bool], encode, of) -> list[int]:
-    """Tree concatenation of consecutive pieces; safe[i] tells of the cut before piece i."""
+def encode_tree(text: str, encode, of: dict[int, bytes], piece: int = PIECE) -> list[int]:
+    """The encoding of a text by halves: pieces of at most `piece` characters are encoded, halves are concatenated."""
+    if len(text) <= piece:
+        return encode(text)
+    mid = len(text) // 2
+    return concatenate(encode_tree(text[:mid], encode, of, piece), encode_tree(text[mid:], encode, of, piece), encode, of)
+
+
+def cut(text: str, size: int) -> list[str]:
+    """Stretches of at most `size` characters and about equal length."""
+    n = max(1, -(-len(text) // size))
+    at = [len(text) * i // n for i in range(n + 1)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def merge_pieces(pieces: list[list[int]], encode, of) -> list[int]:
+    """Tree concatenation of the encodings of consecutive pieces."""
     while len(pieces) > 1:
-        nxt, nsafe = [], []
-        for i in range(0, len(pieces), 2):
-            nsafe.append(safe[i])
-            if i + 1 == len(pieces):
-                nxt.append(pieces[i])
-            else:
-                nxt.append(pieces[i] + pieces[i + 1] if safe[i + 1] else concatenate(pieces[i], pieces[i + 1], encode, of))
-        pieces, safe = nxt, nsafe
+        pieces = [concatenate(pieces[i], pieces[i + 1], encode, of) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
     return pieces[0] if pieces else []
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, piece: int = PIECE) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, piece: int = PIECE, stretch: int = STRETCH) -> DataFrame:
     """(key, ids) of each row of `docs`: ids without special tokens; what looks like one is ordinary text.
 
     Empty and null texts give an empty list; an empty table gives no rows; repeated rows and null keys are
-    kept as they are. Other columns are ignored. Texts up to `piece` characters are encoded where they
-    are read, without a shuffle; only pieces of longer texts move.
+    kept as they are. Other columns are ignored. Every text of more than `piece` characters is encoded by tree concatenation.
+    Texts up to `stretch` characters are so encoded where they are read, without a shuffle; longer ones are parted into stretches
+    that tasks encode in the same way, and the tree goes on over the stretches.
     """
     path = vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    short = d.where(F.length("_text") <= piece)
-    long = d.where(F.length("_text") > piece)
+    near = d.where(F.length("_text") <= stretch)
+    far = d.where(F.length("_text") > stretch)
 
-    def encode_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = encoder(path)
+    def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, of = encoder(path)
         for b in batches:
-            ids = [encode(t) for t in b.column(1).to_pylist()]
+            ids = [encode_tree(t, encode, of, piece) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=[key, "ids"])
 
-    def to_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n, k, t in b.itertuples(index=False):
-                parts = cut(t, piece)
-                yield pd.DataFrame({"_row": n, key: k, "_no": range(len(parts)), "_safe": [s for _, s in parts], "_text": [p for p, _ in parts]}).astype({key: b[key].dtype})
+                parts = cut(t, stretch)
+                yield pd.DataFrame({"_row": n, key: k, "_no": range(len(parts)), "_text": parts}).astype({key: b[key].dtype})
 
-    def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, _ = encoder(path)
+    def encode_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, of = encoder(path)
         for b in batches:
-            yield b.drop(columns="_text").assign(ids=[encode(t) for t in b["_text"]])
+            yield b.drop(columns="_text").assign(ids=[encode_tree(t, encode, of, piece) for t in b["_text"]])
 
     def join(b: pd.DataFrame) -> pd.DataFrame:
         encode, of = encoder(path)
         b = b.sort_values("_no")
-        ids = merge_pieces([list(map(int, x)) for x in b["ids"]], b["_safe"].tolist(), encode, of)
         out = b.iloc[:1].copy()
-        out["ids"] = [ids]
+        out["ids"] = [merge_pieces([list(map(int, x)) for x in b["ids"]], encode, of)]
         return out
 
-    first = fan_out(short).mapInArrow(encode_short, f"{key} {kind}, ids array<int>")
-    cols = f"_row bigint, {key} {kind}, _no int, _safe boolean"
-    # the row number only tells repeated keys apart; pieces are cut once, before anything depends on it
-    rows = long.select(F.xxhash64(F.col(key), F.col("_text"), F.monotonically_increasing_id()).alias("_row"), key, "_text")
-    pieces = rows.mapInPandas(to_pieces, cols + ", _text string").repartition("_row", "_no")
-    done = pieces.mapInPandas(encode_pieces, cols + ", ids array<int>")
+    first = fan_out(near).mapInArrow(encode_rows, f"{key} {kind}, ids array<int>")
+    cols = f"_row bigint, {key} {kind}, _no int"
+    # the row number only tells repeated keys apart; texts are parted once, before anything depends on it
+    rows = far.select(F.xxhash64(F.col(key), F.col("_text"), F.monotonically_increasing_id()).alias("_row"), key, "_text")
+    parts = rows.mapInPandas(to_stretches, cols + ", _text string").repartition("_row", "_no")
+    done = parts.mapInPandas(encode_stretches, cols + ", ids array<int>")
     level = done.withColumn("_g", (F.col("_no") / FAN_IN).cast("int")).groupBy("_row", "_g").applyInPandas(join, cols + ", ids array<int>, _g int")
     whole = level.drop("_g").groupBy("_row").applyInPandas(join, cols + ", ids array<int>")
     return first.unionByName(whole.select(key, "ids"))

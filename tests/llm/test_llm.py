@@ -214,16 +214,31 @@ def test_tree_concatenation_is_exact():
         alphabet = r.choice(ALPHABETS) + (r.choice(ALPHABETS) if r.random() < 0.4 else "")
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 500)))
         parts = encoding.cut(t, r.choice([5, 17, 40, 100]))
-        assert "".join(p for p, _ in parts) == t
-        assert encoding.merge_pieces([encode(p) for p, _ in parts], [s for _, s in parts], encode, of) == encode(t), repr(t)
+        assert "".join(parts) == t
+        assert encoding.merge_pieces([encode(p) for p in parts], encode, of) == encode(t), repr(t)
+        assert encoding.encode_tree(t, encode, of, r.choice([3, 30, 150])) == encode(t), repr(t)
+
+
+def test_most_documents_pass_through_concatenation(spark, monkeypatch):
+    encode, of = encoding.encoder(f"{encoding.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    joins, plain = [], encoding.concatenate
+    monkeypatch.setattr(encoding, "concatenate", lambda *a: joins.append(1) or plain(*a))
+    texts = [r.text or "" for r in table(spark, SF2, "documents").collect()]
+    joined = 0
+    for t in texts:
+        before = len(joins)
+        assert encoding.encode_tree(t, encode, of) == encode(t)
+        joined += len(joins) > before
+    assert joined > 0.8 * len(texts) and len(joins) > 2 * len(texts)
 
 
 def test_encode_corpus(spark):
     encode, of = encoding.encoder(f"{encoding.TOKENIZERS}/byte_bpe_50k.tiktoken")
     texts = [None, "", " ", "<|endoftext|> is ordinary", "İş güvenliği 😀", "z" * 900, "no blanks," * 200, "some words and more " * 120, "some words and more " * 120]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
-    got = {r.doc_id: r.ids for r in encoding.encode_corpus(d, piece=64).collect()}
-    assert got == {i: encode(t or "") for i, t in enumerate(texts)}
+    for stretch in (64, 600, encoding.STRETCH):
+        got = {r.doc_id: r.ids for r in encoding.encode_corpus(d, piece=32, stretch=stretch).collect()}
+        assert got == {i: encode(t or "") for i, t in enumerate(texts)}
     assert all(b"".join(of[i] for i in got[k]).decode() == (t or "") for k, t in enumerate(texts))
     assert encoding.encode_corpus(d.limit(0)).count() == 0
 
