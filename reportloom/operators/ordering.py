@@ -18,7 +18,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column
     """
     cols = [F.col(c) for c in (*group, *order)]
     ranged = df.repartitionByRange(parts, *cols) if parts else df.repartitionByRange(*cols)
-    r = Stash(df.sparkSession, "ranges").put(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_value", value))
+    r = Stash(df.sparkSession, "ranges").finish(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_value", value))
     keys = ["_pid", *group]
     local = F.sum("_value").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     totals = r.groupBy(*keys).agg(F.sum("_value").alias("_total"))

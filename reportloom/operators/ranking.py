@@ -97,7 +97,7 @@ def diverse_selection(candidates: DataFrame, query: str, key: str, score: str, t
     def step(s: Column, _: Column) -> Column:
         left = F.filter("all", lambda x: ~F.exists(s["chosen"], lambda y: y["key"] == x["key"]))
         scored = F.transform(left, lambda x: F.struct(value(x, s["chosen"]).alias("v"), x.alias("x")))
-        best = F.aggregate(F.slice(scored, 2, 1000000), F.try_element_at(scored, F.lit(1)), lambda a, b: F.when(b["v"] > a["v"], b).otherwise(a))
+        best = F.aggregate(F.slice(scored, F.lit(2), F.greatest(F.size(scored), F.lit(1))), F.try_element_at(scored, F.lit(1)), lambda a, b: F.when(b["v"] > a["v"], b).otherwise(a))
         return F.when(F.size(left) > 0, F.struct(F.array_append(s["chosen"], best["x"]).alias("chosen"), F.array_append(s["scores"], best["v"]).alias("scores"))).otherwise(s)
 
     picked = g.select(query, F.aggregate(F.sequence(F.lit(1), F.lit(k)), empty, step).alias("p"))
@@ -157,7 +157,7 @@ def greedy_distinct_all(rows: DataFrame, key: str, text: str, limit: float) -> D
         stash.drop(left)
         left = rest
     kept = nodes.join(reduce(DataFrame.unionByName, gone), "id", "left_anti") if gone else nodes
-    return kept.select(F.col("key").alias(key)).unionByName(r.where(F.size("words") == 0).select(F.col("key").alias(key)))
+    return stash.finish(kept.select(F.col("key").alias(key)).unionByName(r.where(F.size("words") == 0).select(F.col("key").alias(key))))
 
 
 def within_budget(rows: DataFrame, group: str, order: list, size: Column, budget: int) -> DataFrame:

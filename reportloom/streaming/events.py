@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.session import shared_dir
+from reportloom.session import hand_over, shared_dir
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -31,4 +31,5 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    hand_over(spark, base)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

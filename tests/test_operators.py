@@ -305,3 +305,31 @@ def test_provider_is_applied_in_batches(spark):
     d = spark.createDataFrame([("a", "x"), ("b", None)], "k string, text string")
     got = extract.with_provider(d, lambda s: s.fillna("none") + "!")
     assert rows(got.select("k", "response")) == [("a", "x!"), ("b", "none!")]
+
+
+def test_shared_folder_is_an_error_on_a_cluster_without_one(monkeypatch):
+    from types import SimpleNamespace
+
+    from reportloom import session
+
+    made = []
+    conf = SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: made.append(v))
+    on = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf), conf=conf)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(on(master))
+    assert not made and session.shared_dir(on("local[2]")).startswith("file://") and made
+
+
+def test_stash_counts_and_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    from reportloom import session
+
+    session.sweep(spark)
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    stash = session.Stash(spark, "t")
+    for n in (0, 7):
+        d, seen = stash.put_counted(spark.range(n).toDF("x"), rows=F.count(F.lit(1)), odd=F.count_if(F.col("x") % 2 == 1))
+        assert seen == {"rows": n, "odd": n // 2} and d.count() == n
+    out = stash.finish(d.where("x > 3"))
+    assert out.count() == 3 and len(list(tmp_path.glob("*/[0-9]*"))) == 1
+    assert session.sweep(spark) == 1 and not list(tmp_path.glob("*/[0-9]*"))
