@@ -8,6 +8,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from reportloom import session
 from reportloom.llm import catalogue, components, encoding, languages, leaks, names, splitting, truncation, words
 from reportloom.session import table
 
@@ -180,7 +181,9 @@ def test_segments_cover_units_in_order(labelled):
 
 # --- components --------------------------------------------------------------------------------------------------
 
-def test_groups_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 40, components.ONE_TASK])
+def test_groups_against_union_find(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     r = random.Random(5)
     pairs = [(f"n{r.randint(0, 80):02d}", f"n{r.randint(0, 80):02d}") for _ in range(60)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(200)] + [("hub", f"h{i}") for i in range(50)] + [(None, "n00"), ("n00", None), (None, None), ("self", "self")]
     r.shuffle(pairs)
@@ -202,6 +205,18 @@ def test_groups_against_union_find(spark):
     assert components.connected_groups(d.limit(0), "a", "b").count() == 0
 
 
+# --- intermediate tables -----------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", ["p2_found", "p4_found", "p5_found", "p8_found", "p9_found"])
+def test_at_most_the_result_is_left_in_the_shared_folder(spark, tmp_path, monkeypatch, name):
+    session.sweep(spark)
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert Q[name](spark, SF).count()
+    assert len(list(tmp_path.glob("*/[0-9]*"))) <= 1
+    session.sweep(spark)
+    assert not list(tmp_path.glob("*/[0-9]*"))
+
+
 # --- encoding ----------------------------------------------------------------------------------------------------
 
 ALPHABETS = ["abc ", "ab'srelvt1. \n", "   \n\tx", "ığüşöçİI ", "日本語テキスト", "😀👍🏽ab", "0123456789", "ab1!?-—…   x", "-=_#*"]
