@@ -73,6 +73,15 @@ def sweep(spark: SparkSession) -> int:
     return len(paths)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the one table that an operator handed over as `df`, for callers that are operators themselves."""
+    if path := getattr(df, "_handed_over", None):
+        paths = _handed_over.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in paths:
+            paths.remove(path)
+            _delete(df.sparkSession, path)
+
+
 class Stash:
     """Written tables that cut the lineage of a loop and outlive lost executors.
 
@@ -108,6 +117,7 @@ class Stash:
             _delete(self.spark, path)
         self.paths.clear()
         hand_over(self.spark, last)
+        out._handed_over = last
         return out
 
 
