@@ -1,8 +1,9 @@
 """Spellings of names typed by people, linked to the entity they mean.
 
-Method: suffix blocking. The suffixes of a name's tokens from a minimum length are indexed; a suffix that is too common is
-refined with other fields first (initials of the other and of the same token, then its second letter), and what is still too common
-is compared whole, part against part. Pairs in a block are compared by the ratio of the longest common subsequence.
+Method: suffix blocking. The suffixes of a name's tokens from a minimum length are indexed. A block is a suffix within the other fields
+that two names of one entity must share: entity type and the report's company (persons) or line of business (companies). A block
+that is still too common is refined further, by the initials of the other and of the same token, then by its second letter, and one
+that no refinement makes small is compared whole, part against part. Pairs in a block are compared by the ratio of the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from reportloom.llm.components import connected_groups
 from reportloom.llm.words import fold
-from reportloom.session import Stash, fan_out
+from reportloom.operators.skew import salted_lookup
+from reportloom.session import Stash, fan_out, release
 
 #: Shortest suffix in the index; names that a block holds at most before it is refined; about how many names of a block that can't be refined further are in a part.
 MIN_SUFFIX, BLOCK, PART = 4, 50, 1000
 #: Ratios from which tokens, persons and companies agree.
 TOKEN, PERSON, COMPANY = 0.72, 0.84, 0.88
+#: Letters outside the longest common subsequence that one slip of the typist leaves at most: two for a wrong letter or two that changed places.
+SLIP = 2
 #: A token is an established spelling (two of them are two names, however alike) if it has this share of all mentions besides those of
 #: its most frequent bearers, and so many sorts of bearers: persons of one ticker with one initial of the surname or given name beside it.
 ESTABLISHED, BEARERS = 0.001, 4
@@ -111,6 +114,12 @@ def company_tokens(name: str) -> tuple[str, list[str]]:
     return "", words
 
 
+def one_slip(a: str, b: str) -> bool:
+    """The words differ by one slip, or are so long that more makes no difference."""
+    common = lcs(a, b)
+    return len(a) + len(b) - 2 * common <= SLIP or 2 * common >= COMPANY * (len(a) + len(b)) and min(len(a), len(b)) >= 12
+
+
 def _given(x: str, y: str, established: frozenset[str]) -> float:
     """How well two given names agree; an initial fits a name that begins with it, but tells less."""
     if len(x) == 1 or len(y) == 1:
@@ -142,7 +151,7 @@ def same_person(a: list[str], b: list[str], established: frozenset[str] = frozen
             turned = p is not a or q is not b
             s = ratio(p[-1], q[-1])
             g = _given(p[0], q[0], established)
-            if s < 0.75 or not g or turned and (s < 0.85 or g < 0.85):
+            if s < 0.75 or not g or turned and (s < 0.85 or g < 0.85) or not one_slip(p[-1], q[-1]):
                 continue
             mp, mq = p[1:-1], q[1:-1]
             if mp and mq and (len(mp) != len(mq) or not all(_given(x, y, established) for x, y in zip(mp, mq))):
@@ -155,10 +164,13 @@ def same_person(a: list[str], b: list[str], established: frozenset[str] = frozen
 
 
 def same_company(a: list[str], b: list[str]) -> bool:
-    """The words besides line of business and legal form agree, wherever blanks are."""
+    """The words besides line of business and legal form agree, wherever blanks are: each up to one slip, the whole by its ratio.
+
+    Sister companies differ in the ending of a word, which is more than a slip.
+    """
     x, y = "".join(a), "".join(b)
     if ratio(x, y) >= COMPANY:
-        return len(a) != len(b) or all(ratio(p, q) >= 0.6 for p, q in zip(a, b))
+        return all(map(one_slip, a, b)) if len(a) == len(b) else one_slip(x, y)
     return len(a) == len(b) == 2 and ratio(x, b[1] + b[0]) >= 0.95
 
 
@@ -230,26 +242,25 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
             out = [(n, s, *x) for n, s, t in b.itertuples(index=False) for x in suffixes(t)]
             yield pd.DataFrame(out, columns=["node", "scope", "suffix", "other", "own", "second"])
 
-    rest = stash.put(fan_out(nodes.select("node", "scope", "tokens")).mapInPandas(index, "node string, scope string, suffix string, other string, own string, second string"))
-    key, pairs = ["scope", "suffix"], []
-    for refined in ("other", "own", "second", None):
-        # each level is written, so that no plan holds the levels before
-        sizes = stash.put(rest.groupBy(*key).agg(F.count_distinct("node").alias("_size")).where("_size > 1"))
-        own = rest.select("node", *key).distinct().join(sizes, key)
-        few = own.where(f"_size <= {BLOCK}").drop("_size")
-        pairs.append(stash.put(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), key).where("a < b").select("a", "b").distinct()))
-        if refined is None:
-            # blocks that stay large: each part meets itself and every later one, so all pairs are compared
-            parts = own.where(f"_size > {BLOCK}").withColumn("_last", F.ceil(F.col("_size") / PART).cast("int") - 1).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_last") + 1).cast("int"))
-            x = parts.select(*key, F.col("node").alias("x"), F.col("_part").alias("p"), F.explode(F.sequence("_part", "_last")).alias("q"))
-            y = parts.select(*key, F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "_part")).alias("p"), F.col("_part").alias("q"))
-            pairs.append(stash.put(x.join(y, [*key, "p", "q"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-            break
-        left = stash.put(rest.join(sizes.where(f"_size > {BLOCK}").select(*key), key))
-        stash.drop(rest)
-        stash.drop(sizes)
-        rest, key = left, [*key, refined]
-    candidates = reduce(DataFrame.unionByName, pairs).distinct()
+    rows_of = stash.put(fan_out(nodes.select("node", "scope", "tokens")).mapInPandas(index, "node string, scope string, suffix string, other string, own string, second string"))
+    levels = [["scope", "suffix"], ["other"], ["own"], ["second"]]
+    keys = [sum(levels[: i + 1], []) for i in range(len(levels))]
+    held_by = lambda d, key, i: d.groupBy(*key).agg(F.count_distinct("node").alias(f"_size{i}"))
+    sized = rows_of.join(held_by(rows_of, keys[0], 0).where("_size0 > 1"), keys[0])
+    block = lambda key: F.concat_ws(SIGN, *key)
+    small = sized.where(f"_size0 <= {BLOCK}").select(block(keys[0]).alias("block"), "node", F.lit(1).cast("bigint").alias("size"))
+    common = stash.put(sized.where(f"_size0 > {BLOCK}").drop("_size0"))
+    refined = common
+    for i in (1, 2, 3):
+        refined = refined.join(held_by(common, keys[i], i), keys[i])
+    # the first level that makes a block small enough; what none does is parted
+    at = F.when(F.col("_size1") <= BLOCK, block(keys[1])).when(F.col("_size2") <= BLOCK, block(keys[2])).otherwise(block(keys[3]))
+    refined = refined.select(at.alias("block"), "node", F.when(F.least("_size1", "_size2", "_size3") <= BLOCK, 1).otherwise(F.col("_size3")).alias("size"))
+    # each part of a block meets itself and every later one, so all its pairs are compared
+    of = small.unionByName(refined).distinct().withColumn("last", F.ceil(F.col("size") / PART).cast("int") - 1).withColumn("part", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    x = of.select("block", F.col("node").alias("x"), F.col("part").alias("p"), F.explode(F.sequence("part", "last")).alias("q"))
+    y = of.select("block", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"))
+    candidates = x.join(y, ["block", "p", "q"]).where("p < q OR x < y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = established.value
@@ -269,7 +280,8 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
     extra = None
     if canonical is not None:
         # the older resolution's own links; where a name is within a scope that can hold the entity
-        extra = rows.where("cid <> ''").join(official.select("cid", F.col("node").alias("b"), F.col("scope").alias("_s")), "cid").where("scope = _s AND node <> b").select(F.col("node").alias("a"), "b").distinct()
+        spelt = rows.where("cid <> ''").select("cid", "scope", "node").distinct()  # an entity's spellings, however many rows it has
+        extra = salted_lookup(spelt, official.groupBy("cid").agg(F.min(F.struct("node", "scope")).alias("_o")), "cid", "inner").where("scope = _o.scope AND node <> _o.node").select(F.col("node").alias("a"), F.col("_o.node").alias("b")).distinct()
         # a bare initial there would tie persons together: such names are joined below, to their own entity
         extra = extra.where(~F.col("a").rlike(INITIAL) & ~F.col("b").rlike(INITIAL))
         full = full.unionByName(extra)
@@ -281,17 +293,21 @@ def link_names(spark: SparkSession, aliases: DataFrame, canonical: DataFrame | N
     single = links.where("level = 1")
     both = single.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(single.select(F.col("b").alias("node"), F.col("a").alias("to")))
     short = both.where(F.col("node").rlike(INITIAL))
-    target = short.join(weight.select(F.col("node").alias("to"), "entity"), "to").join(heavy, "entity")
+    target = salted_lookup(salted_lookup(short, weight.select(F.col("node").alias("to"), "entity"), "to", "inner"), heavy, "entity", "inner")
     target = target.where(~F.col("entity").rlike(INITIAL) | (F.col("entity") < F.col("node")))
     best = target.groupBy("node").agg(F.max_by("entity", F.struct((~F.col("to").rlike(INITIAL)).alias("full"), "size", "entity")).alias("joined"))
     ties = weight.join(best, "node", "inner").where("entity <> joined").select(F.col("entity").alias("a"), F.col("joined").alias("b")).distinct()
     merged = connected_groups(ties, "a", "b") if ties.limit(1).count() else None
     final = weight.select("node", "entity")
     if merged is not None:
-        final = final.join(merged.select(F.col("entity_id").alias("entity"), "group_id"), "entity", "left").select("node", F.coalesce("group_id", "entity").alias("entity"))
-    out = rows.select("alias_id", "node").join(final, "node").select("alias_id", F.col("entity").alias("entity_id"))
+        final = salted_lookup(final, merged.select(F.col("entity_id").alias("entity"), "group_id"), "entity").select("node", F.coalesce("group_id", "entity").alias("entity"))
+    out = salted_lookup(rows.select("alias_id", "node"), final, "node", "inner").select("alias_id", F.col("entity").alias("entity_id"))
     alone = parsed.where("key = ''").select("alias_id", F.concat(F.lit("?"), "alias_id").alias("entity_id"))
-    return out.unionByName(alone).distinct()
+    done = stash.finish(out.unionByName(alone).distinct())
+    release(grouped)
+    if merged is not None:
+        release(merged)
+    return done
 
 
 def linked_pairs(linked: DataFrame) -> DataFrame:
