@@ -8,49 +8,72 @@ edited copies, which may keep none of those, every n-gram of an item is a seed,
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.llm.words import fold_words, gram_hashes
+from reportloom.llm.words import batch_grams, batch_words
+from reportloom.operators.skew import salted_lookup
 from reportloom.session import Stash, fan_out
 
 #: Words that count as a leak when consecutive, and words of a seed.
 RUN, SEED = 12, 5
-#: Keys of candidate documents that are broadcast at most, to leave the other documents' texts where they are.
-BROADCAST_KEYS = 500_000
-#: Bits of the filter that spares the corpus' n-grams the shuffle: 4 MB, whatever the number of seeds.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that spares the corpus' n-grams the shuffle: so many a seed, and so many at most; with more than four times the
+#: seeds that this would fill there is no filter, and every n-gram goes on.
+SEED_BITS, MOST_BITS = 16, 1 << 27
 #: Alignment: a word that agrees, one that differs, one left out; reported from this score on.
 MATCH, MISMATCH, GAP, MIN_SCORE = 1.0, -0.6, -0.4, 8.0
+#: Cells of the tables that alignments of one step share.
+CELLS = 1 << 17
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-    """Best local alignment of two sequences of word hashes: its score, and the longest common run of words.
+def _padded(parts: list[np.ndarray], pad: int) -> np.ndarray:
+    out = np.full((len(parts), max(map(len, parts))), pad, np.uint64)
+    for i, p in enumerate(parts):
+        out[i, : len(p)] = p
+    return out
 
-    One pass over `b`, vectorised over `a` (gaps in `a` by a running maximum).
-    """
-    if not len(a) or not len(b):
-        return 0.0, 0
-    h, run, best, longest = np.zeros(len(a) + 1), np.zeros(len(a) + 1, np.int32), 0.0, 0
-    steps = -GAP * np.arange(len(a) + 1)
-    for w in b:
-        same = a == w
-        n = np.zeros_like(h)
-        n[1:] = np.maximum(0.0, np.maximum(h[:-1] + np.where(same, MATCH, MISMATCH), h[1:] + GAP))
-        h = np.maximum.accumulate(n + steps) - steps
-        best = max(best, float(h.max()))
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
-    return best, longest
 
+def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Best local alignment of each two sequences of word hashes: its score, and the longest common run of words.
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(FILTER_BITS - 1)), ((h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1))
+    One pass over the second sequences, vectorised over the first ones and over pairs of about equal length (gaps in the first by a
+    running maximum). What pads the shorter ones agrees with nothing, so it adds to no score.
+    """
+    score, longest = np.zeros(len(pairs)), np.zeros(len(pairs), np.int32)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    while order:
+        take = max(1, CELLS // max(len(pairs[i][0]) for i in order[-256:]))
+        now, order = order[-min(256, take) :], order[: -min(256, take)]
+        a, b = _padded([pairs[i][0] for i in now], 1), _padded([pairs[i][1] for i in now], 2)
+        h, run = np.zeros((len(now), a.shape[1] + 1)), np.zeros((len(now), a.shape[1] + 1), np.int32)
+        best, most = np.zeros(len(now)), np.zeros(len(now), np.int32)
+        steps = -GAP * np.arange(a.shape[1] + 1)
+        for w in b.T:
+            same = a == w[:, None]
+            n = np.zeros_like(h)
+            n[:, 1:] = np.maximum(0.0, np.maximum(h[:, :-1] + np.where(same, MATCH, MISMATCH), h[:, 1:] + GAP))
+            h = np.maximum.accumulate(n + steps, axis=1) - steps
+            np.maximum(best, h.max(axis=1), out=best)
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            np.maximum(most, run.max(axis=1), out=most)
+        score[now], longest[now] = best, most
+    return score, longest
+
+
+def stretches(places: np.ndarray, item: int, seed: int) -> list[tuple[int, int]]:
+    """Where a document can align with an item of `item` words: around seeds, as far as the item reaches."""
+    cuts = np.flatnonzero(np.diff(places) > item)
+    first, last = places[np.concatenate([[0], cuts + 1])], places[np.concatenate([cuts, [len(places) - 1]])]
+    return [(max(0, int(a) - item), int(b) + seed + item) for a, b in zip(first, last)]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", run: int = RUN, seed: int = SEED, edited: bool = True) -> DataFrame:
@@ -60,96 +83,113 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     words in common. Without `edited` only the seeds for `run` words running are used: those leaks are complete, copies with
     shorter runs are not. Words are runs of letters and digits, without case and accents. Texts that are null,
     empty or shorter than `seed` words leak nothing; items of fewer than `run` words are seeded as one window.
-    Repeated rows and repeated keys with other texts count once per key (best score). Empty tables give no rows.
-    Runs its first steps when called: the seeds and the documents' n-grams that meet them are tables in the shared folder.
+    Repeated rows and repeated keys with other texts count once per key (best score); a null key is a key. Empty tables give no rows.
+    Runs when called; the result is a table in the shared folder that belongs to the caller.
 
-    Per document only the n-grams that pass a filter of the items' seeds are shuffled; the filter is a broadcast
-    of FILTER_BITS bits. Candidates are pairs of document and item with a seed in common.
+    The documents are read and hashed once; of those without a seed's n-gram nothing is kept. The filter that tells is broadcast,
+    of a size that follows the seeds and is bounded. Candidates are pairs of document and item with a seed in common; only the
+    stretch of a document around its seeds goes to the alignment. Frequent n-grams, items and documents are split by salts.
     """
     spark = docs.sparkSession
     dkind, ikind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-
-    def item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            gs = [(k, h, gram_hashes(fold_words(t), seed)) for k, h, t in b.itertuples(index=False)]
-            gs = [x for x in gs if len(x[2])]
-            if gs:
-                each = lambda i: [x[i] for x in gs for _ in range(len(x[2]))]
-                yield pd.DataFrame({"k": each(0), "h": each(1), "pos": np.concatenate([np.arange(len(x[2]), dtype=np.int32) for x in gs]), "g": np.concatenate([x[2] for x in gs]).view(np.int64)})
-
     stash = Stash(spark, "leaks")
-    it = items.select(item_key, F.col(item_text).alias("_t")).where(F.col("_t").isNotNull())
-    grams = stash.put(fan_out(it.select(item_key, F.xxhash64("_t").alias("_h"), "_t")).mapInPandas(item_grams, f"k {ikind}, h bigint, pos int, g bigint").distinct())
 
-    def to_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            for x in _bits(b["g"].to_numpy().view(np.uint64)):
-                np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pd.DataFrame({"bits": [bits.tobytes()]})
-
-    parts = grams.select("g").distinct().coalesce(4).mapInPandas(to_filter, "bits binary").collect()  # at most four filters of fixed size
-    mask = np.zeros(FILTER_BITS // 8, np.uint8)
-    for p in parts:
-        mask |= np.frombuffer(p.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(mask.tobytes())
-
-    def doc_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            ks, gs = [], []
-            for k, t in b.itertuples(index=False):
-                g = gram_hashes(fold_words(t), seed)
-                ok = np.ones(len(g), bool)
-                for x in _bits(g):
-                    ok &= (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                g = np.unique(g[ok])
-                ks += [k] * len(g)
-                gs.append(g)
-            if len(ks):
-                yield pd.DataFrame({doc_key: ks, "g": np.concatenate(gs).view(np.int64)}).astype({doc_key: b.iloc[:, 0].dtype})
-
-    d = docs.select(doc_key, F.col(doc_text).alias("_t")).where(F.col("_t").isNotNull())
-    hits = stash.put(fan_out(d).mapInPandas(doc_hits, f"{doc_key} {dkind}, g bigint").distinct())  # the documents are read and hashed once
+    def hashed(name: str, kept=None):
+        """Rows of (key, hash of the text, words, n-grams, their places), without texts that have no n-gram that `kept` lets through."""
+
+        def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words, ends = batch_words(b.column(2).to_pylist())
+                of, at, g = batch_grams(words, ends, seed)
+                if kept is not None:
+                    ok = kept(g)
+                    of, at, g = of[ok], at[ok], g[ok]
+                some = np.unique(of)
+                inside = np.zeros(len(ends) - 1, bool)
+                inside[some] = True
+                sizes = np.diff(ends)
+                take = pa.array(some)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), _lists(words[np.repeat(inside, sizes)].view(np.int64), sizes[some]), _lists(g.view(np.int64), np.bincount(of, minlength=len(sizes))[some]), _lists(at.astype(np.int32), np.bincount(of, minlength=len(sizes))[some])],
+                    names=[name, "h", "words", "g", "at"],
+                )
+
+        return run_batches
+
+    cols = "h bigint, words array<bigint>, g array<bigint>, at array<int>"
+    it = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("k"), F.xxhash64(item_text).alias("h"), F.col(item_text).alias("_t")).dropDuplicates(["k", "h"])
+    it, seen = stash.put_counted(it.mapInArrow(hashed("k"), f"k {ikind}, {cols}"), grams=F.sum(F.size("g")))
+    grams = it.select(F.struct("k", "h").alias("i"), F.explode(F.arrays_zip("g", "at")).alias("x")).select("i", "x.g", F.col("x.at").alias("pos"))
+
+    kept, shared = None, None
+    if SEED_BITS * seen["grams"] <= 4 * MOST_BITS:
+        bits = min(MOST_BITS, 1 << max(16, (SEED_BITS * max(1, seen["grams"]) - 1).bit_length()))
+
+        def places(g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for x in (g & np.uint64(bits - 1), (g >> np.uint64(32)) & np.uint64(bits - 1)):
+                yield (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)
+
+        def to_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mask = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for byte, bit in places(b["g"].to_numpy().view(np.uint64)):
+                    np.bitwise_or.at(mask, byte, bit)
+            yield pd.DataFrame({"bits": [mask.tobytes()]})
+
+        mask = np.zeros(bits // 8, np.uint8)
+        for p in grams.select("g").coalesce(4).mapInPandas(to_filter, "bits binary").collect():  # at most four filters of bounded size
+            mask |= np.frombuffer(p.bits, np.uint8)
+        shared = spark.sparkContext.broadcast(mask.tobytes())
+
+        def kept(g: np.ndarray) -> np.ndarray:
+            own, ok = np.frombuffer(shared.value, np.uint8), np.ones(len(g), bool)
+            for byte, bit in places(g):
+                ok &= own[byte] & bit > 0
+            return ok
+
+    d = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("k"), F.xxhash64(doc_text).alias("h"), F.col(doc_text).alias("_t"))
+    d = stash.put(fan_out(d).mapInArrow(hashed("k", kept), f"k {dkind}, {cols}"))
+    hits = d.select(F.struct("k", "h").alias("d"), F.explode(F.arrays_zip("g", "at")).alias("x")).select("d", "x.g", F.col("x.at").alias("pos"))
     # how many documents and items hold a gram; windows choose the rarest, ties by the gram's hash, the same in all texts
-    docs_with = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    items_with = grams.select("k", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rated = grams.join(items_with, "g").join(docs_with, "g", "left").select("k", "h", "pos", F.coalesce("n", F.lit(0)).alias("n"), "df", "g")
-    lists = rated.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "df", "g"))).alias("x"))  # one text's own words
-    width = run - seed + 1
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("x") - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda w: F.struct(w["n"].alias("n"), w["df"].alias("df"), w["g"].alias("g"))))["g"])
-    chosen = lists.select(F.col("k").alias(item_key), F.explode(F.array_distinct(windows)).alias("g"))
-    seeds = rated.where("n > 0").select(F.col("k").alias(item_key), "g").distinct() if edited else chosen.distinct()
-    # a seed that a third of the documents hold: the items' side of it is short, the documents' side is split by AQE
-    pairs = hits.join(seeds, "g").select(doc_key, item_key).distinct()
-    pairs = stash.put(pairs)
-    ids = pairs.select(doc_key).distinct()
-    if ids.count() <= BROADCAST_KEYS:  # else documents are shuffled whole to meet their pairs
-        d = d.join(F.broadcast(ids), doc_key, "left_semi")
-    it = it.distinct()
-    texts = pairs.join(it.withColumnRenamed("_t", "_item"), item_key).join(d.distinct().withColumnRenamed("_t", "_doc"), doc_key)
-    out = f"{doc_key} {dkind}, {item_key} {ikind}, score double, longest_run int, item_words int"
+    docs_with = d.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    items_with = it.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    known = items_with.join(docs_with, "g", "left").select("g", F.coalesce("n", F.lit(0)).alias("n"), "df")
+    rated = salted_lookup(grams, known, "g", "inner", rows=seen["grams"])
+    if edited:
+        seeds = rated.where("n > 0").select("g", "i").distinct()
+    else:
+        lists = rated.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "df", "g"))).alias("x"))  # one text's own words
+        width = run - seed + 1
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("x") - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda w: F.struct(w["n"].alias("n"), w["df"].alias("df"), w["g"].alias("g")))))
+        # a gram that no document has makes no pair; its window isn't in the corpus then
+        seeds = lists.select("i", F.explode(F.array_distinct(windows)).alias("x")).where("x.n > 0").select(F.col("x.g").alias("g"), "i")
+    pairs = salted_lookup(hits, seeds, "g", "inner").groupBy("d", "i").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # one document's own places
+    pairs, met = stash.put_counted(pairs, n=F.count(F.lit(1)))
+    pairs = salted_lookup(pairs, it.select(F.struct("k", "h").alias("i"), F.col("words").alias("item")), "i", "inner", rows=met["n"])
+    own = d.select(F.struct("k", "h").alias("d"), "words").dropDuplicates(["d"])
+    met_words = salted_lookup(pairs, own, "d", "inner", rows=met["n"])
+    begin = F.greatest(F.lit(0), F.element_at("at", 1) - F.size("item"))
+    window = F.slice("words", begin + 1, F.element_at("at", -1) - begin + F.lit(seed) + F.size("item"))
+    texts = met_words.select(F.col("d.k").alias("_d"), F.col("i.k").alias("_i"), "item", window.alias("part"), F.transform("at", lambda p: p - begin).alias("at"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def split(column: pa.ListArray, kind: str) -> list[np.ndarray]:
+            flat, offsets = column.flatten().to_numpy(zero_copy_only=False).view(kind), column.offsets.to_numpy()
+            return np.split(flat, (offsets - offsets[0])[1:-1]) if len(column) else []
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word = functools.lru_cache(512)(fold_words)
         for b in batches:
-            rows = []
-            for k, i, dt, t in b[[doc_key, item_key, "_doc", "_item"]].itertuples(index=False):
-                dw, iw = word(dt), word(t)
-                # only stretches of the document around words of the item can align
-                known = np.flatnonzero(np.isin(gram_hashes(dw, seed), gram_hashes(iw, seed)))
-                score, longest, at = 0.0, 0, 0
-                while at < len(known):
-                    end = at
-                    while end + 1 < len(known) and known[end + 1] - known[end] <= len(iw):
-                        end += 1
-                    part = dw[max(0, known[at] - len(iw)) : known[end] + seed + len(iw)]
-                    s, r = smith_waterman(iw, part)
-                    score, longest, at = max(score, s), max(longest, r), end + 1
-                rows.append((k, i, score, longest, len(iw)))
-            yield pd.DataFrame(rows, columns=[doc_key, item_key, "score", "longest_run", "item_words"]).astype({doc_key: b[doc_key].dtype})
-
-    # little data but much work per row: a stated number of parts isn't coalesced
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scored = texts.select(doc_key, item_key, "_doc", "_item").repartition(tasks, doc_key, item_key).mapInPandas(align, out)
-    return scored.groupBy(doc_key, item_key).agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
+            of, todo = [], []
+            iw = split(b.column(2), np.uint64)
+            for n, (item, part, at) in enumerate(zip(iw, split(b.column(3), np.uint64), split(b.column(4), np.int32))):
+                for x, y in stretches(at, len(item), seed):
+                    of.append(n)
+                    todo.append((item, part[x:y]))
+            s, r = smith_waterman(todo)
+            score, longest = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
+            np.maximum.at(score, of, np.round(s, 6))
+            np.maximum.at(longest, of, r)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array(longest), pa.array(np.array(list(map(len, iw)), np.int32))], names=[doc_key, item_key, "score", "longest_run", "item_words"])
+
+    out = f"{doc_key} {dkind}, {item_key} {ikind}, score double, longest_run int, item_words int"
+    scored = texts.mapInArrow(align, out).groupBy(doc_key, item_key)
+    return stash.finish(scored.agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words")))

@@ -293,13 +293,48 @@ def test_edited_copies_of_a_frequent_passage(spark):
 
 
 def test_smith_waterman_against_plain_recursion():
-    r = random.Random(7)
+    r, cases, want = random.Random(7), [], []
     for _ in range(100):
         a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 8))] for _ in "ab")
         h = np.zeros((len(a) + 1, len(b) + 1))
         for i, j in itertools.product(range(len(a)), range(len(b))):
             h[i + 1, j + 1] = max(0, h[i, j] + (leaks.MATCH if a[i] == b[j] else leaks.MISMATCH), h[i, j + 1] + leaks.GAP, h[i + 1, j] + leaks.GAP)
-        assert abs(leaks.smith_waterman(np.array(a, np.uint64), np.array(b, np.uint64))[0] - h.max()) < 1e-9
+        cases.append((np.array(a, np.uint64) + 10, np.array(b, np.uint64) + 10))
+        want.append(h.max())
+    assert np.allclose(leaks.smith_waterman(cases)[0], want, atol=1e-9) and leaks.smith_waterman([])[0].size == 0
+
+
+def test_batches_of_words_against_plain_splitting():
+    import re
+
+    r = random.Random(8)
+    alphabet = ["a", "B", "ı", "İ", "ß", "é", "e\u0301", "Σ", "ς", " ", "-", "_", "\n", "\u00ad", "7", "٣", "日", "\U00020000", "😀", "\ue000", "ﬁ", "’"]
+    texts = [None, "", " ", *("".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000))]
+    h, ends = words.batch_words(texts)
+    seen = {}
+    for t, a, b in zip(texts, ends, ends[1:]):
+        plain = re.findall(r"[^\W_]+", words.fold((t or "").replace("\ue000", " ")))
+        assert len(plain) == b - a
+        for w, x in zip(plain, h[a:b].tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 0.99), (0.1, 0.97), (0.2, 0.9)])
+def test_recall_of_edited_copies(spark, share, least):
+    """Copies of whole items with a share of their words changed, left out or added, planted in documents."""
+    r = random.Random(9)
+    items = [x for x in table(spark, SF2, "eval_items").collect() if len(words.fold_words(x.text)) >= 2 * leaks.RUN][:300]
+    hosts = [x.text for x in table(spark, SF2, "documents").where("length(text) > 200").collect()]
+    docs = []
+    for n, x in enumerate(items):
+        copy = [y for w in x.text.split() for y in ([w] if r.random() >= share else r.choice([[], ["bambaşka"], [w, "ayrıca"]]))]
+        docs.append((n, r.choice(hosts) + "\n" + " ".join(copy) + "\n" + r.choice(hosts)))
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x.item_id, x.text) for x in items], "item_id string, text string"))
+    found = {(a, b) for a, b in rows(got.where(f"score >= {leaks.MIN_SCORE}").select("doc_id", "item_id"))}
+    recall = sum((n, x.item_id) in found for n, x in enumerate(items)) / len(items)
+    print("recall of edited copies", share, recall)
+    assert recall >= least
 
 
 # --- truncation --------------------------------------------------------------------------------------------------
