@@ -15,12 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportloom.session import fan_out
+from reportloom.operators.skew import salted_lookup
+from reportloom.session import Stash, fan_out
 
 #: Rows from which the classifier is fitted, about; weights; features of a text at most.
 SAMPLE, BITS, WIDTH = 8000, 18, 64
-#: A length that so many different texts of a source have, and so many times the usual number, is a limit; limits kept at most.
-LIMIT_ROWS, LIMIT_TIMES, LIMITS = 5, 6.0, 256
+#: A length is a limit of a source if it is that many times as frequent as the lengths around it, and that isn't chance: the logarithm of
+#: the odds against as many rows (Poisson) is at least this. Both are the same whatever the number of texts or sources.
+LIMIT_TIMES, LIMIT_ODDS = 30.0, 20.0
+#: Sources with limits whose table is broadcast; more are joined.
+BROADCAST_SOURCES = 50_000
 #: Score from which a text counts as cut off, and the share of cut texts the scores are corrected to.
 THRESHOLD, PRIOR = 0.5, 0.15
 
@@ -98,18 +102,29 @@ def features(text: str, char_limits: tuple[int, ...] = (), byte_limits: tuple[in
     return [0, *(1 + crc32(x.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1) for x in f[: WIDTH - 1])]
 
 
-def field_limits(docs: DataFrame, source: str, text: str) -> dict[str, tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Lengths at which texts of a source pile up, in characters and in bytes; at most LIMITS come to the driver."""
+def length_counts(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, m, n, rows): how many different texts of a source have a length, in characters and in bytes (m); short texts left out."""
     d = docs.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("h")).where("chars > 60").distinct()
     m = d.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("m"), F.col("bytes").alias("n")))).alias("x"))
-    by = m.groupBy("source", F.col("x.m").alias("m"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    near = by.groupBy("source", "m", F.floor(F.col("n") / 200).alias("g")).agg(F.sum("rows").alias("all"))
-    j = by.where(F.col("rows") >= LIMIT_ROWS).withColumn("g", F.floor(F.col("n") / 200)).join(near, ["source", "m", "g"])
-    peaks = j.where(F.col("rows") > LIMIT_TIMES * (1 + (F.col("all") - F.col("rows")) / 199)).orderBy(F.desc("rows"), "source", "m", "n").limit(LIMITS)
-    out: dict[str, tuple[list[int], list[int]]] = {}
-    for r in peaks.collect():
-        out.setdefault(r.source, ([], []))[r.m == "bytes"].append(r.n)
-    return {k: (tuple(a), tuple(b)) for k, (a, b) in out.items()}
+    return m.groupBy("source", F.col("x.m").alias("m"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def field_limits(counts: DataFrame) -> DataFrame:
+    """(source, chars, bytes): the lengths at which texts of each source pile up, of the result of length_counts; only sources with any."""
+    near = counts.groupBy("source", "m", F.floor(F.col("n") / 200).alias("g")).agg(F.sum("rows").alias("all"))
+    j = counts.withColumn("g", F.floor(F.col("n") / 200)).join(near, ["source", "m", "g"])
+    usual = (F.col("all") - F.col("rows") + 0.5) / 199
+    times = F.col("rows") / usual
+    peaks = j.where((times >= LIMIT_TIMES) & (F.col("rows") * (F.log(times) - 1) + usual >= LIMIT_ODDS))
+    of = lambda m: F.array_sort(F.collect_list(F.when(F.col("m") == m, F.col("n")))).alias(m)  # noqa: E731  at most a few in each stretch of lengths
+    return peaks.groupBy("source").agg(of("chars"), of("bytes"))
+
+
+def with_limits(docs: DataFrame, limits: DataFrame, sources: int, rows: int) -> DataFrame:
+    """Adds chars and bytes, the limits of the column `source`; null where it has none."""
+    of = limits.withColumnRenamed("source", "_known")
+    d = docs.withColumn("_known", F.coalesce("source", F.lit("")))
+    return (d.join(F.broadcast(of), "_known", "left") if sources <= BROADCAST_SOURCES else salted_lookup(d, of, "_known", rows=rows)).drop("_known")
 
 
 def examples(text: str, limits: tuple[tuple[int, ...], tuple[int, ...]], seed: int) -> list[tuple[str, int]]:
@@ -170,6 +185,10 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.15, l2:
     return w
 
 
+def _limits(x) -> tuple[int, ...]:
+    return () if x is None else tuple(int(v) for v in x)
+
+
 def _pad(rows: list[list[int]]) -> np.ndarray:
     out = np.full((len(rows), WIDTH), 1 << BITS, np.int32)
     for i, r in enumerate(rows):
@@ -182,31 +201,34 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
 
     Null and blank texts and single words (placeholders) have score 0. Without a text to learn from, all scores are 0. Repeated rows come out
     repeatedly; a null source is a source of its own in the limits and stays null. The classifier is fitted when the operator is called:
-    on about `sample` rows chosen by a hash of the text; limits and scores come from all rows.
+    on about `sample` different texts chosen by a hash of the text; limits and scores come from all rows. Repeating
+    texts, under the same or other keys, changes no score.
     """
     spark = docs.sparkSession
-    limits = field_limits(docs, source, text)
-    has = docs.where(F.regexp_like(F.col(text), F.lit(r"\S")))
-    n = has.count()
+    stash = Stash(spark, "truncation")
+    counts, seen = stash.put_counted(fan_out(length_counts(docs, source, text)), n=F.sum(F.when(F.col("m") == "chars", F.col("rows"))))
+    limits, known = stash.put_counted(field_limits(counts), n=F.count(F.lit(1)))
+    stash.drop(counts)
     h = F.xxhash64(F.col(text), F.lit("truncation sample"))
-    rows = has.select(F.col(source).alias("source"), F.col(text).alias("text"), h.alias("h")).where(F.pmod(h, F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n)))))
+    rows = docs.where(F.regexp_like(F.col(text), F.lit(r"\S"))).select(F.col(source).alias("source"), F.col(text).alias("text"), h.alias("h"))
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, seen["n"])))))
+    rows = with_limits(rows.dropDuplicates(["source", "h"]), limits, known["n"], sample)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            xs, ys = [], []
-            for s, t, seed in b.itertuples(index=False):
-                own = limits.get(s or "", ((), ()))
+            out = []
+            for s, t, seed, chars, byts in b.itertuples(index=False):
+                own = _limits(chars), _limits(byts)
                 size = len(t.encode("utf-8", "surrogatepass"))
                 if len(t) in own[0] or any(0 <= v - size <= 3 for v in own[1]) or any(p.search(t) for _, p in TRACES) or not _WHOLE.match(_kind(t.rstrip().split("\n"))):
                     continue
-                for e, y in examples(t, own, seed & 0x7FFFFFFF):
-                    xs.append(features(e, *own))
-                    ys.append(y)
-            if xs:
-                yield pd.DataFrame({"x": [np.array(v, np.int32) for v in xs], "y": ys})
+                out += [(s or "", seed, n, np.array(features(e, *own), np.int32), y) for n, (e, y) in enumerate(examples(t, own, seed & 0x7FFFFFFF))]
+            if out:
+                yield pd.DataFrame(out, columns=["s", "h", "n", "x", "y"])
 
-    got = fan_out(rows).mapInPandas(make, "x array<int>, y int").toPandas()  # about ten short rows of each sampled text
+    got = fan_out(rows.select("source", "text", "h", "chars", "bytes")).mapInPandas(make, "s string, h bigint, n int, x array<int>, y int").toPandas()  # about ten short rows of each sampled text
     if len(got):
+        got = got.sort_values(["h", "s", "n"])  # so that the same texts make the same classifier, however they are parted
         # a second round leaves out the ends of real texts that the first takes for cut
         x, y = _pad([list(v) for v in got["x"]]), got["y"].to_numpy().astype(float)
         w = train(x, y, epochs=3)
@@ -221,14 +243,15 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
         for b in batches:
-            blank = np.array([not t or len(t.split()) < 2 for t in b["_text"]], bool)
-            x = _pad([[1 << BITS] if e else features(t, *limits.get(s or "", ((), ()))) for t, s, e in zip(b["_text"], b["_source"], blank)])
+            blank = np.array([not t or len(t.split(None, 2)) < 2 for t in b["_text"]], bool)
+            x = _pad([[1 << BITS] if e else features(t, _limits(c), _limits(o)) for t, c, o, e in zip(b["_text"], b["chars"], b["bytes"], blank)])
             p = 1 / (1 + np.exp(-np.clip(weights[x].sum(axis=1).astype(float), -30, 30)))
             p[blank] = 0.0
-            out = b.drop(columns="_text").rename(columns={"_source": "source"})
-            yield out.assign(score=p, truncated=p >= THRESHOLD)
+            yield b[["_key", "source"]].rename(columns={"_key": key}).assign(score=p, truncated=p >= THRESHOLD)
 
-    return fan_out(docs.select(key, F.col(source).alias("_source"), F.col(text).alias("_text"))).mapInPandas(score, f"{key} {kinds[key]}, source string, score double, truncated boolean")
+    every = fan_out(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.col(text).alias("_text")))
+    scored = with_limits(every, limits, known["n"], seen["n"]).mapInPandas(score, f"{key} {kinds[key]}, source string, score double, truncated boolean")
+    return stash.finish(scored)
 
 
 def truncation_rates(scored: DataFrame) -> DataFrame:

@@ -361,6 +361,25 @@ def test_truncation_edge_cases(spark):
     assert {r.score for r in truncation.find_truncated(odd.where("doc_id > -5")).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("most", [truncation.BROADCAST_SOURCES, 10])
+def test_limits_of_a_thousand_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(truncation, "BROADCAST_SOURCES", most)
+    limit = 100 + F.pmod(F.col("id").cast("int") / 40, F.lit(300)).cast("int")
+    d = spark.range(40_000).select("id", F.concat(F.lit("s"), (F.col("id") / 40).cast("int")).alias("source"), limit.alias("limit"))
+    d = d.withColumn("text", F.expr("rpad(cast(id AS string), CASE WHEN id % 40 < 12 THEN limit ELSE 70 + id % 40 * 13 END, 'x')"))
+    limits = truncation.field_limits(truncation.length_counts(d, "source", "text"))
+    got = truncation.with_limits(d, limits, limits.count(), d.count()).where("array_contains(chars, limit)")
+    assert limits.count() == 1000 and got.count() == d.count()
+
+
+def test_repeated_texts_change_no_score(spark):
+    d = table(spark, SF2, "documents").select("doc_id", "text", "source")
+    ten = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).select((F.col("doc_id") + F.col("k") * 1_000_000).alias("doc_id"), "text", "source")
+    one = {r.doc_id: r.score for r in truncation.find_truncated(d).collect()}
+    many = {r.doc_id: r.score for r in truncation.find_truncated(ten).where("doc_id < 1000000").collect()}
+    assert one == many and len(one) > 900
+
+
 def test_rates(spark):
     d = spark.createDataFrame([("a", True), ("a", False), (None, True)], "source string, truncated boolean")
     assert rows(truncation.truncation_rates(d)) == sorted([("a", 2, 1, 0.5), (None, 1, 1, 1.0)], key=repr)
