@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions.text import strip
 from reportloom.operators.skew import salted_lookup
+from reportloom.session import Stash
 
 
 def parent_keys(df: DataFrame, name: str, key: str, arrived: str, deleted: str) -> DataFrame:
@@ -41,7 +42,8 @@ def orphan_references(parents: list[DataFrame], children: list[DataFrame]) -> Da
     count once; empty tables give no rows, or, as parents, make all references missing.
 
     Keys are grouped with partial aggregates before the shuffle, so a key that holds a third of the references
-    is one row per map task; it is split by salts where its references get their key's state.
+    is one row per map task; it is split by salts where its references get their key's state. Children are read twice: for their keys,
+    and to pick the references to keys without a usable target, whose table is in the shared folder and belongs to the caller.
     """
     p = reduce(DataFrame.unionByName, parents)
     c = reduce(DataFrame.unionByName, children)
@@ -49,14 +51,15 @@ def orphan_references(parents: list[DataFrame], children: list[DataFrame]) -> Da
         c.select("parent_table", "key", F.lit(0).alias("is_parent"), F.lit(None).cast("timestamp_ntz").alias("arrived"), F.lit(None).cast("boolean").alias("deleted"), "referred")
     )
     keys = long.groupBy("parent_table", "key").agg(
-        F.max("is_parent").alias("has_parent"), F.min("is_parent").alias("no_child"), F.min("deleted").alias("all_deleted"),
+        F.max("is_parent").alias("has_parent"), F.sum(1 - F.col("is_parent")).alias("count"), F.min("deleted").alias("all_deleted"),
         F.min("arrived").alias("first_arrived"), F.min("referred").alias("first_referred"),
     )
     # a key all of whose references come after its first target is sound: only the others go on
-    bad = keys.where((F.col("no_child") == 0) & ((F.col("has_parent") == 0) | F.col("all_deleted") | (F.col("first_arrived") > F.col("first_referred"))))
+    bad = keys.where((F.col("count") > 0) & ((F.col("has_parent") == 0) | F.col("all_deleted") | (F.col("first_arrived") > F.col("first_referred"))))
     one = F.concat_ws("\x01", "parent_table", "key")
-    state = bad.select(one.alias("_ref"), "has_parent", "all_deleted", "first_arrived")
-    j = salted_lookup(c.withColumn("_ref", one), state, "_ref", "inner")
+    stash = Stash(c.sparkSession, "orphans")
+    bad, seen = stash.put_counted(bad.select(one.alias("_ref"), "has_parent", "all_deleted", "first_arrived", "count"), refs=F.sum("count"))
+    j = salted_lookup(c.withColumn("_ref", one), stash.keep(bad).drop("count"), "_ref", "inner", rows=seen["refs"], counts=bad.select("_ref", "count"))
     reason = F.when(F.col("has_parent") == 0, "missing").when(F.col("all_deleted"), "deleted").when(F.col("first_arrived") > F.col("referred"), "late")
     return j.select("table_name", "record_key", F.col("key").alias("missing_key"), reason.alias("reason"), F.trunc("referred", "month").alias("period")).where(F.col("reason").isNotNull()).distinct()
 

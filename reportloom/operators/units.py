@@ -1,8 +1,8 @@
 """Quantities stated in many units and scales, converted to the common unit of their metric.
 
 Method: extract number and unit text by pattern, normalise the unit text by a join with an alias
-table, take number, unit and scale from the first place that states them, apply factor and offset.
-Only built-in columns and joins with tables of fixed size; no shuffle but the final distinct.
+table, take number, unit and scale from the first place that states them, else the metric's own unit, apply offset and factor.
+Only built-in columns and joins with tables of fixed size; no shuffle but the distinct ones.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions.text import strip
 
-# Spellings of units in lower case, by dimension, common unit and factor to it (offset is 0 throughout).
+# Spellings of units in lower case, by dimension, common unit and factor to it.
 UNITS = [
     ("money", "TRY", "1", "try|tl|₺|türk lirası"),
     ("money", "USD", "1", "usd|$|us$|abd doları"),
@@ -45,6 +45,12 @@ UNITS = [
     ("ratio", "bp", "100", "%|percent|pct|yüzde"),
     ("ratio", "bp", "10", "‰|permille|binde"),
 ]
+# Units with another zero, as above, then what is added to the number before it is multiplied, and a divisor.
+AFFINE = [
+    ("temperature", "°C", "1", "°c|c|celsius|santigrat|derece", "0", "1"),
+    ("temperature", "°C", "1", "k|kelvin", "-273.15", "1"),
+    ("temperature", "°C", "5", "°f|f|fahrenheit", "-32", "9"),
+]
 # Scale words in lower case, without full stops.
 SCALES = [
     ("1000", "bin|thousand|ths|k|'000|tsd|tausend|mille|milliers|mil|miles"),
@@ -59,25 +65,30 @@ BRACKET = rf"[(\[]([^()\[\]]*[^\d\s.,()\[\]{GAP}\-−][^()\[\]]*)[)\]]"
 AMOUNT, FACTOR = "decimal(16,4)", "decimal(22,3)"
 
 
+def known_units() -> list[tuple[str, str, str, str, str, str]]:
+    """UNITS and AFFINE in one form: dimension, common unit, factor, spellings, offset, divisor."""
+    return [(*u, "0", "1") for u in UNITS] + AFFINE
+
+
 def alias_table(spark: SparkSession) -> DataFrame:
-    """(dimension, phrase, stated_unit, stated_factor, stated_scale): a unit, a scale word, or both in either order.
+    """(dimension, phrase, stated_unit, stated_factor, stated_offset, stated_divisor, stated_scale): a unit, a scale word, or both in either order.
 
     A phrase that is both a unit of the dimension and a scale word is the unit (m is metre for a
-    length, million for money). The number of rows is fixed by UNITS and SCALES.
+    length, million for money). The number of rows is fixed by UNITS, AFFINE and SCALES.
     """
-    units = [(d, u, Decimal(f), w) for d, u, f, names in UNITS for w in names.split("|")]
+    units = [(d, (u, Decimal(f), Decimal(o), int(v)), w) for d, u, f, names, o, v in known_units() for w in names.split("|")]
     scales = [(Decimal(x), w) for x, names in SCALES for w in names.split("|")]
     table: dict[tuple[str, str], tuple] = {}
-    for d, u, f, w in units:
-        table.setdefault((d, w), (u, f, None))
+    for d, u, w in units:
+        table.setdefault((d, w), (*u, None))
     for d in sorted({x[0] for x in units}):
         for x, w in scales:
-            table.setdefault((d, w), (None, None, x))
+            table.setdefault((d, w), (None, None, None, None, x))
     for first in (True, False):
-        for d, u, f, w in units:
+        for d, u, w in units:
             for x, v in scales:
-                table.setdefault((d, f"{v} {w}" if first else f"{w} {v}"), (u, f, x))
-    return spark.createDataFrame([(*k, *v) for k, v in table.items()], f"dimension string, phrase string, stated_unit string, stated_factor {FACTOR}, stated_scale {FACTOR}")
+                table.setdefault((d, f"{v} {w}" if first else f"{w} {v}"), (*u, x))
+    return spark.createDataFrame([(*k, *v) for k, v in table.items()], f"dimension string, phrase string, stated_unit string, stated_factor {FACTOR}, stated_offset {AMOUNT}, stated_divisor int, stated_scale {FACTOR}")
 
 
 def unit_phrase(text: Column) -> Column:
@@ -122,22 +133,31 @@ def _squeezed(c: Column) -> Column:
 
 
 def convert_quantities(entities: DataFrame, metric_units: DataFrame) -> DataFrame:
-    """One row per distinct FinancialMetric statement: entity_id, number, unit, scale, factor and the value in the common unit.
+    """One row per distinct FinancialMetric statement: entity_id, number, unit, scale, offset, factor and the value in the common unit.
 
     Input: `entities` with id, type, properties, evidence_text, source_file, canonical_name (others are
     ignored); `metric_units` with metric_key, dimension, common_unit.
 
     number: reported_value if it is stated, else value. Unit and scale: as reported_value prints them, else
-    the bracket in evidence_text, else the properties; no scale is 1. The dimension comes from metric_key,
+    the bracket in evidence_text, else the properties, else, for the unit, the one that `metric_units` has for the metric if that is
+    one (not for money, whose unit is the stated currency); no scale is 1. The dimension comes from metric_key,
     or if that is missing or unknown from a metric of that name, or from what rows of the same name mostly have.
-    Rows without number or without unit have null common_value. Null properties, empty
+    common_value is scale times number plus offset, times factor, rounded half away from zero; `divides` is what the factor is divided
+    by (9 for Fahrenheit, else 1). Rows without number or without unit have null common_value. Null properties, empty
     texts and an empty table give null results or no rows; repeated rows come out once.
     """
     spark = entities.sparkSession
     p = lambda k: F.try_element_at(F.col("properties"), F.lit(k))
     keys = metric_units.select(_key(F.col("metric_key")).alias("_key"), "dimension", "common_unit").groupBy("_key").agg(F.min("dimension").alias("dimension"), F.min("common_unit").alias("metric_unit"))
-    e = entities.where(F.col("type") == "FinancialMetric").select(
-        F.col("id").alias("entity_id"), _key(p("metric_key")).alias("_key"), _squeezed(F.coalesce(p("name"), F.col("canonical_name"))).alias("_name"),
+    m = entities.where(F.col("type") == "FinancialMetric")
+    key, name = _key(p("metric_key")), _squeezed(F.coalesce(p("name"), F.col("canonical_name")))
+    # what metrics of a name measure: of the keys and names alone, before any pattern is run; one row per name, far fewer than rows
+    named = (
+        m.select("id", key.alias("_key"), name.alias("_name")).where(F.col("_name") != "").join(keys, "_key").groupBy("_name", "dimension").agg(F.count_distinct("id").alias("n"))
+        .groupBy("_name").agg(F.max_by("dimension", F.struct("n", "dimension")).alias("named"))
+    )
+    e = m.select(
+        F.col("id").alias("entity_id"), key.alias("_key"), name.alias("_name"),
         F.when(p("reported_value").rlike(r"\S"), p("reported_value")).alias("_rv"), p("value").alias("_value"), F.lower(strip(p("unit"))).alias("_unit"),
         stated_scale(p("scale")).alias("_scale"), F.regexp_extract("evidence_text", BRACKET, 1).alias("_bracket"),
         F.lower(F.regexp_extract("source_file", r"__([A-Za-z]{2})__", 1)).alias("lang"),
@@ -146,25 +166,24 @@ def convert_quantities(entities: DataFrame, metric_units: DataFrame) -> DataFram
         "number": F.when(F.col("_rv").isNotNull(), F.col("_printed")).otherwise(F.col("_value").try_cast("decimal(38,10)").try_cast(AMOUNT)),
         "_said": unit_phrase(F.col("_rv")), "_note": unit_phrase(F.col("_bracket")),
     })
-    e = e.join(F.broadcast(keys), "_key", "left")
-    # names of metrics and what they measure: one row per name, far fewer than rows
-    named = (
-        e.where(F.col("dimension").isNotNull() & (F.col("_name") != "")).groupBy("_name", "dimension").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_name").agg(F.max_by("dimension", F.struct("n", "dimension")).alias("named"))
-    )
-    e = e.join(named, "_name", "left").withColumn("dimension", F.coalesce("dimension", "named")).drop("named")
+    e = e.join(keys, "_key", "left").join(named, "_name", "left").withColumn("dimension", F.coalesce("dimension", "named")).drop("named")
     a = F.broadcast(alias_table(spark))
-    for c, tag in (("_said", "s"), ("_note", "n"), ("_unit", "u")):
-        b = a.select(F.col("dimension"), F.col("phrase").alias(c), F.col("stated_unit").alias(f"{tag}_unit"), F.col("stated_factor").alias(f"{tag}_factor"), F.col("stated_scale").alias(f"{tag}_scale"))
-        e = e.join(b, ["dimension", c], "left")
-    unit = F.coalesce("s_unit", "n_unit", "u_unit")
-    unit_factor = F.coalesce("s_factor", "n_factor", "u_factor")
+    stated = ["unit", "factor", "offset", "divisor", "scale"]
+    own = F.lower(F.translate("metric_unit", "İ", "i"))
+    for c, tag in (("_said", "s"), ("_note", "n"), ("_unit", "u"), ("_own", "d")):
+        b = a.select("dimension", F.col("phrase").alias(c), *[F.col(f"stated_{x}").alias(f"{tag}_{x}") for x in stated])
+        e = (e.withColumn("_own", own) if c == "_own" else e).join(b, ["dimension", c], "left")
+    first = lambda x: F.coalesce(*[F.col(f"{tag}_{x}") for tag in "snud"])
     scale = F.coalesce("s_scale", "n_scale", "_scale", F.lit(1).cast(FACTOR))
-    e = e.select("entity_id", "dimension", "number", unit.alias("common_unit"), scale.alias("scale"), F.expr("0").cast(AMOUNT).alias("offset"), F.try_multiply(scale, unit_factor).try_cast(FACTOR).alias("factor"))
-    return e.withColumn("common_value", F.round(F.try_add(F.try_multiply(F.col("number"), F.col("factor")), F.col("offset")), 0).try_cast("bigint")).drop("offset")
+    e = e.select("entity_id", "dimension", "number", first("unit").alias("common_unit"), scale.alias("scale"), first("offset").alias("offset"), first("divisor").alias("divides"), F.try_multiply(scale, first("factor")).try_cast(FACTOR).alias("factor"))
+    # a scale is part of the number, so what is added to the number is divided by it: scale (number + offset / scale)
+    whole = F.try_multiply(F.try_add(F.col("number"), F.when(F.col("offset") == 0, F.lit(0).cast(AMOUNT)).otherwise((F.col("offset") / F.col("scale")).try_cast(AMOUNT))).try_cast(AMOUNT), F.col("factor"))
+    whole = F.when(F.col("divides") == 1, whole).otherwise((whole.try_cast("decimal(28,7)") / F.col("divides")).try_cast("decimal(38,7)"))
+    return e.withColumn("common_value", F.round(whole, 0).try_cast("bigint"))
 
 
 def converted_rows(entities: DataFrame, metric_units: DataFrame) -> DataFrame:
-    """(entity_id, common_value, common_unit) of the statements whose factor isn't 1, each once."""
+    """(entity_id, common_value, common_unit) of the statements that aren't in the common unit as they are printed, each once."""
     q = convert_quantities(entities, metric_units)
-    return q.where((F.col("factor") != 1) & F.col("common_value").isNotNull()).select("entity_id", "common_value", "common_unit").distinct()
+    other = (F.col("factor") != 1) | (F.col("divides") != 1) | (F.col("offset") != 0)
+    return q.where(other & F.col("common_value").isNotNull()).select("entity_id", "common_value", "common_unit").distinct()

@@ -69,7 +69,7 @@ def _sql_phrase(c: str) -> str:
 
 
 _CONVERTED = f"""
-WITH u AS (SELECT dimension, unit, factor::DECIMAL(22,3) AS factor, unnest(string_split(alias, '|')) AS alias FROM ({_values(U.UNITS)}) t(dimension, unit, factor, alias)),
+WITH u AS (SELECT dimension, unit, factor::DECIMAL(22,3) AS factor, unnest(string_split(alias, '|')) AS alias FROM ({_values(U.known_units())}) t(dimension, unit, factor, alias, o, v)),
 s AS (SELECT scale::DECIMAL(22,3) AS scale, unnest(string_split(word, '|')) AS word FROM ({_values(U.SCALES)}) t(scale, word)),
 forms AS (
   SELECT dimension, alias AS phrase, unit, factor, NULL::DECIMAL(22,3) AS scale, 0 AS p FROM u
@@ -77,7 +77,7 @@ forms AS (
   UNION ALL SELECT dimension, word || ' ' || alias, unit, factor, scale, 2 FROM u, s
   UNION ALL SELECT dimension, alias || ' ' || word, unit, factor, scale, 3 FROM u, s),
 a AS (SELECT * FROM forms QUALIFY row_number() OVER (PARTITION BY dimension, phrase ORDER BY p) = 1),
-k AS (SELECT regexp_replace(lower({_sql_strip('metric_key')}), '[\\s_-]+', '_', 'g') AS k, min(dimension) AS dimension FROM metric_units GROUP BY 1),
+k AS (SELECT regexp_replace(lower({_sql_strip('metric_key')}), '[\\s_-]+', '_', 'g') AS k, min(dimension) AS dimension, min(lower(common_unit)) AS own FROM metric_units GROUP BY 1),
 e0 AS (SELECT DISTINCT id, properties['metric_key'] AS mk, coalesce(properties['name'], canonical_name) AS nm,
     CASE WHEN regexp_matches(properties['reported_value'], '\\S') THEN properties['reported_value'] END AS rv, properties['value'] AS v, properties['unit'] AS pu, properties['scale'] AS ps,
     regexp_extract(evidence_text, '{_BRACKET}', 1) AS br, lower(regexp_extract(source_file, '__([A-Za-z]{{2}})__', 1)) AS lang
@@ -91,14 +91,14 @@ e3 AS (SELECT *, CASE WHEN en THEN regexp_matches(raw, '^\\d+,\\d+$') AND NOT re
 e4 AS (SELECT *, TRY_CAST(CASE WHEN en <> odd THEN replace(raw, ',', '') ELSE replace(replace(raw, '.', ''), ',', '.') END AS DECIMAL(16,4)) AS x FROM e3),
 e5 AS (SELECT id, k, nm, said, note, pu, ps,
     CASE WHEN rv IS NULL THEN TRY_CAST(v AS DECIMAL(16,4)) WHEN regexp_matches(t, '[-−–]\\s*\\d|\\(\\s*\\d[^()]*\\)') THEN -x ELSE x END AS number FROM e4),
-e6 AS (SELECT e5.*, k.dimension AS d1 FROM e5 LEFT JOIN k USING (k)),
-named AS (SELECT nm, d1 FROM (SELECT nm, d1, count(*) AS n FROM e6 WHERE d1 IS NOT NULL AND nm <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY nm ORDER BY n DESC, d1 DESC) = 1),
+e6 AS (SELECT e5.*, k.dimension AS d1, k.own FROM e5 LEFT JOIN k USING (k)),
+named AS (SELECT nm, d1 FROM (SELECT nm, d1, count(DISTINCT id) AS n FROM e6 WHERE d1 IS NOT NULL AND nm <> '' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY nm ORDER BY n DESC, d1 DESC) = 1),
 e7 AS (SELECT e6.*, coalesce(e6.d1, named.d1) AS dimension FROM e6 LEFT JOIN named USING (nm)),
 ps AS (SELECT *, coalesce((SELECT scale FROM s WHERE word = ps LIMIT 1), TRY_CAST(TRY_CAST(CASE WHEN regexp_matches(ps, '^\\d{{1,3}}([.,]\\d{{3}})+$') THEN regexp_replace(ps, '[.,]', '', 'g') ELSE ps END AS DOUBLE) AS DECIMAL(22,3))) AS pscale FROM e7),
-q AS (SELECT ps.id, ps.number, coalesce(x.unit, y.unit, z.unit) AS common_unit,
-    coalesce(x.scale, y.scale, ps.pscale, 1) AS scale, coalesce(x.factor, y.factor, z.factor) AS unit_factor
+q AS (SELECT ps.id, ps.number, coalesce(x.unit, y.unit, z.unit, w.unit) AS common_unit,
+    coalesce(x.scale, y.scale, ps.pscale, 1) AS scale, coalesce(x.factor, y.factor, z.factor, w.factor) AS unit_factor
   FROM ps LEFT JOIN a x ON x.dimension = ps.dimension AND x.phrase = ps.said LEFT JOIN a y ON y.dimension = ps.dimension AND y.phrase = ps.note
-  LEFT JOIN a z ON z.dimension = ps.dimension AND z.phrase = ps.pu),
+  LEFT JOIN a z ON z.dimension = ps.dimension AND z.phrase = ps.pu LEFT JOIN a w ON w.dimension = ps.dimension AND w.phrase = ps.own),
 c AS (SELECT id AS entity_id, common_unit, (scale::DECIMAL(12,0) * unit_factor) AS factor, round(number * (scale::DECIMAL(12,0) * unit_factor)::DECIMAL(22,3), 0)::BIGINT AS common_value FROM q)
 """
 

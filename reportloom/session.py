@@ -111,7 +111,10 @@ class Stash:
             _delete(self.spark, held[0])
 
     def finish(self, df: DataFrame) -> DataFrame:
-        out = self.put(df)
+        return self.keep(self.put(df))
+
+    def keep(self, out: DataFrame) -> DataFrame:
+        """As finish, for a table that is written already and that the result is read from."""
         last, _ = self.paths.pop(id(out))
         for path, _ in self.paths.values():
             _delete(self.spark, path)

@@ -17,7 +17,7 @@ def rows(df):
 
 
 ENT = "id string, type string, canonical_name string, properties map<string,string>, evidence_text string, source_file string"
-UNITS = [("total_revenue", "money", "ISO code as stated"), ("water_use", "volume", "l"), ("fleet_distance", "length", "m"), ("net_margin", "ratio", "bp"), ("headcount", "count", "count")]
+UNITS = [("total_revenue", "money", "ISO code as stated"), ("water_use", "volume", "l"), ("fleet_distance", "length", "m"), ("net_margin", "ratio", "bp"), ("headcount", "count", "count"), ("furnace_heat", "temperature", "°C")]
 
 
 def convert(spark, *statements):
@@ -42,7 +42,18 @@ def convert(spark, *statements):
         (" Net-Margin", "%12,345", "", "tr", None, None, None, (1235, "bp")),
         ("headcount", "3 mil kişi", "", "es", None, None, None, (3000, "count")),
         ("water_use", "yok", "", "tr", None, "HL", None, (None, "l")),
-        ("water_use", None, None, "tr", None, None, None, (None, None)),
+        ("water_use", None, None, "tr", None, None, None, (None, "l")),
+        ("furnace_heat", "212 °F", "", "en", None, None, None, (100, "°C")),
+        ("furnace_heat", "-40 fahrenheit", "", "en", None, None, None, (-40, "°C")),
+        ("furnace_heat", "1 kK", "", "en", None, None, None, (1, "°C")),  # no known unit: the metric's own
+        ("furnace_heat", "1 k K", "", "en", None, None, None, (727, "°C")),
+        ("furnace_heat", "300,15", "Isı (K) 300,15", "tr", None, "°F", None, (27, "°C")),
+        ("furnace_heat", None, "", "en", None, "F", "98.6", (37, "°C")),
+        ("furnace_heat", "21", "", "en", None, None, None, (21, "°C")),  # source default
+        ("water_use", "7 bin", "", "tr", None, None, None, (7000, "l")),  # scale in the text, source default for the unit
+        ("water_use", "7", "x (m3) 7", "tr", None, "HL", None, (7000, "l")),  # text before the unit field
+        ("water_use", "7", "x 7", "tr", None, "HL", None, (700, "l")),  # the unit field
+        ("total_revenue", "7 bin", "", "tr", None, None, None, (None, None)),  # no currency is stated
     ],
 )
 def test_units(spark, key, said, evidence, lang, scale, unit, value, expected):
