@@ -11,13 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as T
+from reportloom.operators.ontology import edge_rules
 from reportloom.operators.skew import salted_lookup
 
-# Edge types with the labels of their ends.
-EDGE_RULES = [
-    ("OPERATES_IN", "Company", "Sector"), ("PUBLISHED", "Company", "Report"), ("HAS_CHUNK", "Report", "Chunk"), ("HOLDS_ROLE_AT", "Person", "Company"),
-    ("OFFERS", "Company", "Product"), ("EVIDENCED_BY", "Person", "Chunk"), ("EVIDENCED_BY", "Company", "Chunk"), ("EVIDENCED_BY", "Product", "Chunk"), ("REPORTED_METRIC", "Company", "FinancialMetric"),
-]
+EDGE_RULES = edge_rules()
 LOW_CONFIDENCE = 0.5
 
 
