@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.plans import audits, general, graphs, quality, retrieval, texts
+from reportloom.plans import audits, general, graphs, quality, resolution, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (general, texts, retrieval, graphs, audits, quality)
+MODULES = (general, texts, retrieval, graphs, audits, quality, resolution)
 
 
 def queries() -> dict[str, Query]:
