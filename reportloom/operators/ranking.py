@@ -15,7 +15,7 @@ W_VECTOR, W_LEXICAL, W_METADATA = 0.5, 0.3, 0.2
 SAME_PAGE, SIMILAR, SIMILAR_WEIGHT = 0.15, 0.6, 0.5
 RRF_K = 60
 # Words that say nothing about a question.
-STOP_WORDS = "a an and are at for from how in is of on or the to was what which who why with ve ile için bir bu da de mi ne nedir hangi olan".split()
+STOP_WORDS = "ve veya bir ile için de da bu şu nedir nasıldı hakkında göre".split()
 
 
 def rrf(lists: list[DataFrame], key: str, query: str = "query_id", k: int = RRF_K) -> DataFrame:
@@ -173,16 +173,16 @@ def path_relevance(hops: Column, ticker_seen: Column, year_ok: Column) -> Column
     return F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), s)), 2)
 
 
-# Phrases that ask for relations, and such that ask for wording.
-GRAPH_PHRASES = ["ilişki", "iliski", "bağlantı", "baglanti", "ortak", "relation", "connected", "path", "who is", "kim"]
-VECTOR_PHRASES = ["özetle", "ozetle", "açıkla", "acikla", "summarize", "explain", "describe", "nasıl", "nasil"]
+# Phrases that ask for relations, and such that ask for wording; each with what keeps them from deciding.
+GRAPH_PHRASES, GRAPH_BUT = ["ürünleri nelerdir", "yöneticileri kimlerdir", "aynı sektördeki", "rakipleri kimlerdir", "sektördeki diğer", "hangi şirketler aynı"], ["açıkla", "neden", "strateji"]
+VECTOR_PHRASES, VECTOR_BUT = ["açıkla", "neden", "nasıl bir strateji", "sürdürülebilirlik yaklaşımı", "vizyonu nedir", "değerlendirmesi", "özetle"], ["ciro", "ürün", "yönetici"]
 
 
 def retrieval_mode(question: Column) -> Column:
     """graph, vector or hybrid, by the phrases a question has."""
     q = T.lower_tr(F.coalesce(question, F.lit("")))
     has = lambda ps: F.exists(F.array(*map(F.lit, ps)), lambda p: F.contains(q, p))
-    return F.when(has(GRAPH_PHRASES) & ~has(VECTOR_PHRASES), "graph").when(has(VECTOR_PHRASES) & ~has(GRAPH_PHRASES), "vector").otherwise("hybrid")
+    return F.when(has(GRAPH_PHRASES) & ~has(GRAPH_BUT), "graph").when(has(VECTOR_PHRASES) & ~has(VECTOR_BUT), "vector").otherwise("hybrid")
 
 
 def is_relevant(hit_ticker: Column, ticker: Column, text: Column, keywords: Column, question: Column) -> Column:

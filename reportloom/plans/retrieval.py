@@ -178,7 +178,7 @@ def context_window(spark, sf):
 _MODE_Q = S.lower_tr("coalesce(question, '')")
 
 
-@query(f"SELECT id, CASE WHEN {S.has(_MODE_Q, K.GRAPH_PHRASES)} AND NOT {S.has(_MODE_Q, K.VECTOR_PHRASES)} THEN 'graph' WHEN {S.has(_MODE_Q, K.VECTOR_PHRASES)} AND NOT {S.has(_MODE_Q, K.GRAPH_PHRASES)} THEN 'vector' ELSE 'hybrid' END AS mode FROM golden_test")
+@query(f"SELECT id, CASE WHEN {S.has(_MODE_Q, K.GRAPH_PHRASES)} AND NOT {S.has(_MODE_Q, K.GRAPH_BUT)} THEN 'graph' WHEN {S.has(_MODE_Q, K.VECTOR_PHRASES)} AND NOT {S.has(_MODE_Q, K.VECTOR_BUT)} THEN 'vector' ELSE 'hybrid' END AS mode FROM golden_test")
 def route_mode(spark, sf):
     return table(spark, sf, "golden_test").select("id", K.retrieval_mode(F.col("question")).alias("mode"))
 
