@@ -206,7 +206,7 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     """
     spark = docs.sparkSession
     stash = Stash(spark, "truncation")
-    counts, seen = stash.put_counted(fan_out(length_counts(docs, source, text)), n=F.sum(F.when(F.col("m") == "chars", F.col("rows"))))
+    counts, seen = stash.put_counted(length_counts(docs, source, text), n=F.sum(F.when(F.col("m") == "chars", F.col("rows"))))
     limits, known = stash.put_counted(field_limits(counts), n=F.count(F.lit(1)))
     stash.drop(counts)
     h = F.xxhash64(F.col(text), F.lit("truncation sample"))
