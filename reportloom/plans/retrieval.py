@@ -168,11 +168,12 @@ def context_dedupe(spark, sf):
     return K.greedy_distinct(c, ["id"], "chunk_id", "text", F.struct(-F.col("base"), F.col("chunk_id")), 0.8)
 
 
-@query("""SELECT DISTINCT h.chunk_id AS hit_id, c.chunk_id, abs(c.page_number - h.page_number) AS distance FROM (SELECT DISTINCT chunk_id, ticker, year, page_number FROM chunks WHERE chunk_index = 0) h
+@query("""SELECT DISTINCT h.chunk_id AS hit_id, c.chunk_id, abs(c.page_number - h.page_number) AS distance FROM (SELECT DISTINCT chunk_id, ticker, year, page_number FROM chunks WHERE ('0x' || left(sha256(chunk_id), 8))::BIGINT % 50 = 0) h
 JOIN chunks c ON c.ticker = h.ticker AND c.year = h.year AND abs(c.page_number - h.page_number) <= 1 AND c.chunk_id <> h.chunk_id""")
 def context_window(spark, sf):
-    c = table(spark, sf, "chunks").select("chunk_id", "ticker", "year", "page_number", "chunk_index").distinct()
-    return V.context_window(c.where("chunk_index = 0"), c, 1)
+    # the hits are the chunks whose digest is divisible by 50, sought among all chunks
+    c = table(spark, sf, "chunks").select("chunk_id", "ticker", "year", "page_number").distinct()
+    return V.context_window(c.where(F.conv(F.substring(F.sha2("chunk_id", 256), 1, 8), 16, 10).cast("bigint") % 50 == 0), c, 1)
 
 
 _MODE_Q = S.lower_tr("coalesce(question, '')")
@@ -183,11 +184,12 @@ def route_mode(spark, sf):
     return table(spark, sf, "golden_test").select("id", K.retrieval_mode(F.col("question")).alias("mode"))
 
 
-@query(_CAND + f""", v AS (SELECT id, chunk_id, ticker, qt, {S.lower_tr('text')} AS t, list_distinct(list_filter({S.answer_words('question')}, lambda w: length(w) > 4)) AS lw FROM j)
-SELECT id, chunk_id, ticker = qt AND len(list_filter(lw, lambda w: contains(t, w))) >= 2 AS relevant FROM v""")
+@query(_CAND + f""", v AS (SELECT j.id, chunk_id, ticker, qt, {S.lower_tr('text')} AS t, list_distinct(list_filter({S.answer_words('j.question')}, lambda w: length(w) > 4)) AS lw, coalesce(expected_entities, []) AS kw FROM j JOIN (SELECT id, any_value(expected_entities) AS expected_entities FROM golden_test GROUP BY 1) USING (id))
+SELECT id, chunk_id, ticker = qt AND (len(list_filter(kw, lambda w: contains(t, {S.lower_tr('w')}))) > 0 OR len(list_filter(lw, lambda w: contains(t, w))) >= 2) AS relevant FROM v""")
 def hit_relevance(spark, sf):
-    c = _candidates(spark, sf)
-    return c.select("id", "chunk_id", K.is_relevant(F.col("ticker"), F.col("qt"), F.col("text"), F.array().cast("array<string>"), F.col("question")).alias("relevant"))
+    k = table(spark, sf, "golden_test").select("id", F.coalesce("expected_entities", F.array().cast("array<string>")).alias("kw"))
+    c = _candidates(spark, sf).join(k, "id")
+    return c.select("id", "chunk_id", K.is_relevant(F.col("ticker"), F.col("qt"), F.col("text"), F.col("kw"), F.col("question")).alias("relevant"))
 
 
 # --- deduplication ----------------------------------------------------------------------------------------------
@@ -216,15 +218,12 @@ def mention_dedupe(spark, sf):
     return e.distinct().agg(F.count(F.lit(1)).alias("mentions"))
 
 
-@query(_greedy_sql(f"WITH RECURSIVE k AS (SELECT golden_id, item_id, {_BW} AS words, row_number() OVER (PARTITION BY golden_id ORDER BY item_id) AS i FROM eval_items WHERE text IS NOT NULL)", "golden_id", "item_id", 0.85))
+@query("SELECT item_id FROM (" + _greedy_sql(f"WITH RECURSIVE k AS (SELECT 1 AS one, item_id, {_BW} AS words, row_number() OVER (ORDER BY item_id) AS i FROM eval_items WHERE text IS NOT NULL)", "one", "item_id", 0.85) + ")")
 def near_dup_greedy(spark, sf):
-    # within a question's own items: a bounded block
-    g = table(spark, sf, "eval_items").where("text IS NOT NULL")
-    return K.greedy_distinct(g, ["golden_id"], "item_id", "text", F.struct("item_id"), 0.85)
+    return K.greedy_distinct_all(table(spark, sf, "eval_items"), "item_id", "text", 0.85)
 
 
 def near_dup_documents(spark, sf):
-    # the whole table, where near_dup_greedy and its SQL keep to blocks
     return K.greedy_distinct_all(table(spark, sf, "documents"), "doc_id", "text", 0.85)
 
 

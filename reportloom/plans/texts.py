@@ -45,8 +45,9 @@ def meaningful_text(spark, sf):
 _PARAS = "list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), lambda p: " + S.strip('p') + "), lambda p: p <> '')"
 _BLOCKS = f"""
 WITH RECURSIVE p AS (SELECT chunk_id, unnest({_PARAS}) AS p, unnest(range(1, len({_PARAS}) + 1)) AS i FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
-l AS (SELECT chunk_id, i, CASE WHEN {S.tokens('p')} > 300 THEN list_filter(list_transform(string_split_regex(regexp_replace(p, '([.!?;])[ ]+', '\\1' || chr(10), 'g'), '\\n'), lambda s: {S.strip('s')}), lambda s: s <> '') ELSE [p] END AS b FROM p),
-b AS (SELECT chunk_id, i, unnest(b) AS b, unnest(range(1, len(b) + 1)) AS j FROM l),
+l AS (SELECT chunk_id, i, CASE WHEN {S.tokens('p')} > 300 THEN list_filter(list_transform(string_split_regex(regexp_replace(p, '([.!?;])[ ]+', '\\1' || chr(10), 'g'), '\\n'), lambda s: {S.strip('s')}), lambda s: s <> '') ELSE [p] END AS b0 FROM p),
+l2 AS (SELECT chunk_id, i, flatten(list_transform(b0, lambda s: CASE WHEN {S.tokens('p')} > 300 AND {S.tokens('s')} > 300 THEN list_transform(range(0, {S.words('s')}, {K.PIECE_WORDS}), lambda k: array_to_string(regexp_extract_all(s, '{S.NOT_BLANK}+')[k + 1:k + {K.PIECE_WORDS}], ' ')) ELSE [s] END)) AS b FROM (SELECT l.*, p.p FROM l JOIN p USING (chunk_id, i))),
+b AS (SELECT chunk_id, i, unnest(b) AS b, unnest(range(1, len(b) + 1)) AS j FROM l2),
 n AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY i, j) AS pos, b, {S.tokens('b')} AS t FROM b),
 base AS (SELECT chunk_id, list(b ORDER BY pos) AS bs, list(c ORDER BY pos) AS c, count(*) AS n FROM (SELECT *, sum(t) OVER (PARTITION BY chunk_id ORDER BY pos)::INT AS c FROM n) GROUP BY 1),
 r AS (SELECT chunk_id, bs, c, n, 1::BIGINT AS f, greatest(1, len(list_filter(c, lambda x: x <= 500)))::BIGINT AS l, 0 AS k FROM base
@@ -301,9 +302,9 @@ def missing_slots(spark, sf):
     return records.not_yet_written(e, table(spark, sf, "chunks"), ["chunk_id"])
 
 
-@query("""SELECT count(*) AS rows, CAST(sum(('0x' || left(sha256(coalesce(CAST(vec_id AS VARCHAR), chr(2)) || chr(1) || coalesce(CAST(label AS VARCHAR), chr(2))), 15))::UBIGINT::HUGEINT) AS VARCHAR) AS digest, count(DISTINCT vec_id) AS keys FROM embeddings""")
+@query("""SELECT count(*) AS rows, CAST(sum(('0x' || left(sha256(coalesce(CAST(vec_id AS VARCHAR), chr(2)) || chr(1) || coalesce(array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ','), chr(2)) || chr(1) || coalesce(CAST(label AS VARCHAR), chr(2))), 15))::UBIGINT::HUGEINT) AS VARCHAR) AS digest, count(DISTINCT vec_id) AS keys FROM embeddings""")
 def vector_checksum(spark, sf):
-    return records.table_checksum(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    return records.table_checksum(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
 
 
 @query(f"""SELECT t AS ticker, y AS year FROM (SELECT DISTINCT ticker AS t FROM companies), (SELECT unnest(range(2015, 2025))::INT AS y) EXCEPT SELECT ticker, year FROM chunks""")

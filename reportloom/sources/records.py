@@ -65,8 +65,10 @@ def write_vectors(df: DataFrame, path: str, embedding: str, size: int, reset: bo
 
 
 def table_checksum(df: DataFrame, key: str) -> DataFrame:
-    """One row: rows and a digest that doesn't depend on order or layout: the sum of the rows' hashes, as exact decimals."""
-    cols = [F.to_json(c) if t.startswith(("map<", "array<", "struct<")) else F.col(c).cast("string") for c, t in df.dtypes]
+    """One row: rows and a digest that doesn't depend on order or layout: the sum of the rows' hashes, as exact decimals. Vectors count to six places."""
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string")), ",", "")
+    text = lambda c, t: numbers(c) if t in ("array<float>", "array<double>") else F.to_json(c) if t.startswith(("map<", "array<", "struct<")) else F.col(c).cast("string")
+    cols = [text(c, t) for c, t in df.dtypes]
     h = F.conv(F.substring(F.sha2(F.concat_ws("\x01", *[F.coalesce(c, F.lit("\x02")) for c in cols]), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("digest"), F.count_distinct(key).alias("keys"))
 
