@@ -41,8 +41,9 @@ PLAIN = "cgiiosuaiueeeeaaaaaiiioooouuncgiosuaiueeeeaaaaaiiioooouun"
 TITLES = ["sayın", "sayin", "sn", "dr", "prof", "doç", "doc", "av", "mr", "ms", "mrs"]
 # Namespace of names in the domain name system (RFC 4122), as hex.
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
-# Phrases that try to steer a model, masked in retrieved text.
-INJECTIONS = ["ignore (all )?previous instructions", "ignore (the )?above", "disregard (all )?(previous|prior) instructions", "system prompt", "you are now", "forget (everything|all instructions)"]
+# Phrases that try to steer a model, masked in retrieved text, and what masks them.
+INJECTIONS = [r"ignore\s+(all\s+)?previous\s+instructions", r"system\s+prompt\s+override", r"disregard\s+all\s+(prior\s+)?constraints", r"you\s+are\s+now\s+an?\s+unfiltered", r"forget\s+all\s+rules", r"print\s+system\s+prompt"]
+MASK = "[UNTRUSTED DATA BLOCKED: Prompt Injection Attempt Removed]"
 # Key names whose values are secrets.
 SECRET_KEYS = "(?i)(password|secret|token|api_?key|authorization)"
 
@@ -148,8 +149,8 @@ def cited_numbers(c: Column | str, n_sources: Column) -> Column:
 
 
 def mask_injections(c: Column | str) -> Column:
-    """Steering phrases replaced by [masked]."""
-    return F.regexp_replace(col(c), "(?i)" + "|".join(f"(?:{p})" for p in INJECTIONS), "[masked]")
+    """Steering phrases replaced by MASK."""
+    return F.regexp_replace(col(c), "(?i)" + "|".join(f"(?:{p})" for p in INJECTIONS), MASK)
 
 
 def redact(props: Column) -> Column:

@@ -18,12 +18,8 @@ from reportloom.operators.checks import PROPERTY_RULES
 from reportloom.operators.graph import EDGE_RULES
 from reportloom.operators.skew import salted_lookup
 
-# The node types and the reason codes of rejections.
+# The node types.
 NODE_TYPES = ["Company", "Report", "Chunk", "Person", "Product", "Sector", "FinancialMetric", "Event", "Date"]
-REASONS = (
-    "CACHE_INVALID CHUNK_MODEL_INVALID DUPLICATE_REF ENTITY_MODEL_INVALID ENTITY_REFERENCE_NOT_FOUND EVIDENCE_NOT_IN_CHUNK LLM_JSON_INVALID "
-    "LLM_SHAPE_INVALID PROVENANCE_MISMATCH PROVIDER_ERROR RELATION_MODEL_INVALID SCHEMA_VALIDATION_FAILED UNKNOWN_NODE_TYPE UNKNOWN_RELATION_TYPE"
-).split()
 _PROOF = "properties: map<string,string>, source_chunk_id: string, source_file: string, page_number: int, evidence_text: string, confidence: double"
 ENTITY = f"ref: string, type: string, canonical_name: string, {_PROOF}"
 RELATION = f"type: string, source_ref: string, target_ref: string, {_PROOF}"
@@ -31,8 +27,32 @@ RESPONSE = f"entities array<struct<{ENTITY}>>, relations array<struct<{RELATION}
 
 
 def with_provider(chunks: DataFrame, provider: Callable[[pd.Series], pd.Series], text: str = "text") -> DataFrame:
-    """Adds response, what the provider returns for each batch of texts."""
-    return chunks.withColumn("response", F.pandas_udf(provider, StringType())(F.col(text)))
+    """Adds response, what the provider returns for each batch of texts, and error, the message of the exception that it raised for a text.
+
+    A batch that fails is asked again text by text, so one bad text costs no other its response; a failed text has a null response. If that
+    is not wanted, the provider's own retries are its own matter.
+    """
+
+    def ask(batch: pd.Series) -> pd.DataFrame:
+        try:
+            got, failed = list(provider(batch)), [None] * len(batch)
+        except Exception:  # noqa: BLE001  whatever a provider raises is its answer
+            got, failed = [], []
+            for i in range(len(batch)):
+                try:
+                    got.append(provider(batch.iloc[i : i + 1]).iloc[0])
+                    failed.append(None)
+                except Exception as err:  # noqa: BLE001
+                    got.append(None)
+                    failed.append(f"{type(err).__name__}: {err}"[:500])
+        return pd.DataFrame({"response": pd.Series(got, dtype=object), "error": pd.Series(failed, dtype=object)})
+
+    return chunks.withColumn("_p", F.pandas_udf(ask, "response string, error string")(F.col(text))).select(*chunks.columns, "_p.response", "_p.error")
+
+
+def uncached(chunks: DataFrame, cache: DataFrame, text: str, version: str) -> DataFrame:
+    """The chunks, with their fingerprint, that no row of cache(fingerprint, ..) answers: what a resumed run still has to ask for."""
+    return chunks.withColumn("fingerprint", fingerprint(F.col(text), version)).join(cache.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
 def fingerprint(text: Column, version: str) -> Column:
@@ -60,15 +80,16 @@ def accept(responses: DataFrame, chunks: DataFrame, version: str = "v1") -> tupl
 
     A candidate is rejected for the first of: its shape, a ref used before in the response, an unknown type, provenance
     other than the chunk's, evidence that isn't part of the chunk's text, references to no accepted entity, properties or
-    ends that the ontology forbids. A response that is no JSON, or lacks a list, is rejected as a whole; one of an unknown
+    ends that the ontology forbids. A response with an error (column error, if there is one) is a PROVIDER_ERROR. A response that is no JSON, or lacks a list, is rejected as a whole; one of an unknown
     chunk has no text, so its candidates fail on provenance. Null responses count as no JSON; repeated responses repeat.
     """
     c = chunks.groupBy("chunk_id").agg(F.max("text").alias("_text"), F.max("source_file").alias("_file"), F.max("page_number").alias("_page"))
-    r = responses.select("response_id", "chunk_id", "response", F.try_parse_json(F.coalesce("response", F.lit("?"))).isNotNull().alias("_json"), F.from_json("response", RESPONSE).alias("_r"))
-    whole = F.when(~F.col("_json"), "LLM_JSON_INVALID").when(F.col("_r.entities").isNull() | F.col("_r.relations").isNull(), "LLM_SHAPE_INVALID")
+    failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
+    r = responses.select("response_id", "chunk_id", "response", failed.alias("_failed"), F.try_parse_json(F.coalesce("response", F.lit("?"))).isNotNull().alias("_json"), F.from_json("response", RESPONSE).alias("_r"))
+    whole = F.when(F.col("_failed"), "PROVIDER_ERROR").when(~F.col("_json"), "LLM_JSON_INVALID").when(F.col("_r.entities").isNull() | F.col("_r.relations").isNull(), "LLM_SHAPE_INVALID")
     r = salted_lookup(r.withColumn("reason_code", whole), c, "chunk_id")
     bad = r.where("reason_code IS NOT NULL").select("response_id", "chunk_id", F.lit("chunk").alias("record_kind"), F.lit(None).cast("int").alias("candidate_index"), "reason_code")
-    r = r.where("reason_code IS NULL").drop("reason_code", "response", "_json")
+    r = r.where("reason_code IS NULL").drop("reason_code", "response", "_json", "_failed")
 
     e = r.select("*", F.posexplode("_r.entities").alias("i", "e"))
     before = F.array_position(F.transform("_r.entities", lambda x: x["ref"]), F.col("e.ref")) < F.col("i") + 1

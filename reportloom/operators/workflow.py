@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from reportloom.functions import text as T
 from reportloom.operators.ordering import running_sum
 
-# Phrases that mark a question's kind, words out of the domain, words left out of a rewritten question.
+#: Phrases that mark a question's kind.
 COMPARE = ["karşılaştır", "karsilastir", "kıyas", "compare", "versus", " vs ", "difference between", "fark"]
 MULTI_HOP = ["hangi ortaklık", "ilişki", "iştirak", "bağlı", "through", "subsidiary", "related", "whose"]
-OUT_OF_DOMAIN = ["hava durumu", "weather", "futbol", "football", "recipe", "yemek tarifi"]
-NOISE = ["lütfen", "lutfen", "please", "acaba", "bana", "tell me"]
-SUFFIXES = ["faaliyet raporu", "finansal tablo"]
+# Words out of the domain; words left out of a rewritten question; what its variants end in; phrases for 2024 and for 2025; years after the data's.
+OUT_OF_DOMAIN = ["spacex", "apple", "iphone", "mars projesi", "tesla", "microsoft", "amazon", "google", "facebook"]
+NOISE = ["geçen yıl", "geçen sene", "iyi miydi", "nasıldı", "nasıl", "nedir", "hakkında"]
+SUFFIXES = ["gelir net kâr cirosu operasyonel ve finansal performansı", "revenue net profit investment performance"]
+LAST_YEAR, THIS_YEAR = ["geçen yıl", "geçen sene", "önceki yıl", "geçen faaliyet dönemi"], ["bu yıl", "bu sene", "son dönem"]
+LATER = "(?:^|[^0-9])(?:20[2-9][6-9]|20[3-9][0-9])(?:[^0-9]|$)"
 
 
 def _has(q: Column, phrases: list[str]) -> Column:
@@ -21,18 +24,20 @@ def _has(q: Column, phrases: list[str]) -> Column:
 
 
 def question_year(q: Column) -> Column:
-    """The first year 2010 to 2029 in a question, or null."""
-    return F.nullif(F.regexp_extract(F.coalesce(q, F.lit("")), r"(?:^|[^0-9])(20[12][0-9])(?:[^0-9]|$)", 1), F.lit("")).cast("int")
+    """2024 or 2025 for a phrase that stands for it, else the first year 2020 to 2029 in a question, or null."""
+    t = T.lower_tr(F.coalesce(q, F.lit("")))
+    stated = F.nullif(F.regexp_extract(t, r"(?:^|[^0-9])(202[0-9])(?:[^0-9]|$)", 1), F.lit("")).cast("int")
+    return F.when(_has(t, LAST_YEAR), 2024).when(_has(t, THIS_YEAR), 2025).otherwise(stated)
 
 
 def question_kind(q: Column) -> Column:
     """out_of_domain, comparison, multi_year, multi_hop or single."""
     t = T.lower_tr(F.coalesce(q, F.lit("")))
     years = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit("20[12][0-9]"), F.lit(0))))
-    return F.when(_has(t, OUT_OF_DOMAIN) | (question_year(q) >= 2026), "out_of_domain").when(_has(t, COMPARE), "comparison").when(years > 1, "multi_year").when(_has(t, MULTI_HOP), "multi_hop").otherwise("single")
+    return F.when(_has(t, OUT_OF_DOMAIN) | t.rlike(LATER), "out_of_domain").when(_has(t, COMPARE), "comparison").when(years > 1, "multi_year").when(_has(t, MULTI_HOP), "multi_hop").otherwise("single")
 
 
-# The steps of each plan as (step, tool, steps it needs).
+#: The steps of each plan as (step, tool, steps it needs).
 PLANS = {
     "single": [(1, "vector", []), (2, "verify", [1]), (3, "write", [2])],
     "multi_year": [(1, "vector", []), (2, "vector", []), (3, "verify", [1, 2]), (4, "write", [3])],
@@ -56,12 +61,17 @@ def ready_tasks(tasks: DataFrame, run: str) -> DataFrame:
     return j.where(F.forall("needs", lambda n: F.array_contains("_done", n))).drop("_done")
 
 
-def task_levels(tasks: DataFrame, run: str, most: int = 8) -> DataFrame:
-    """Adds level: 1 without needs, else one more than the highest of the needed steps. A fold over one run's few steps, in step order."""
-    t = F.array_sort(F.collect_list(F.struct("step", "needs")))
-    lev = F.aggregate(F.col("t"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")), lambda m, s: F.map_concat(m, F.map_from_arrays(F.array(s["step"]), F.array(F.coalesce(F.array_max(F.transform(s["needs"], lambda n: m[n])), F.lit(0)) + 1))))
-    levels = tasks.groupBy(run).agg(t.alias("t")).select(run, F.explode(lev).alias("step", "level"))
-    return tasks.join(levels, [run, "step"])
+def task_levels(tasks: DataFrame, run: str) -> DataFrame:
+    """Adds level: 1 without needs, else one more than the highest of the needed steps, in whatever order steps are numbered; null for steps of a cycle and what needs them.
+
+    One run's few steps are folded in its row: as many passes as it has steps settle all levels; one that grows still is in a cycle. Steps needed but missing count as level 0.
+    """
+    t, n = F.array_sort(F.collect_list(F.struct("step", "needs"))), F.size("t")
+    start = F.map_from_entries(F.transform("t", lambda s: F.struct(s["step"], F.lit(1))))
+    one = lambda m: lambda s: F.struct(s["step"], 1 + F.coalesce(F.array_max(F.transform(s["needs"], lambda x: F.coalesce(F.try_element_at(m, x), F.lit(0)))), F.lit(0)))
+    settled = F.aggregate(F.sequence(F.lit(1), n), start, lambda m, _: F.map_from_entries(F.transform("t", one(m))))
+    levels = tasks.groupBy(run).agg(t.alias("t")).select(run, n.alias("_n"), F.explode(settled).alias("step", "_l"))
+    return tasks.join(levels, [run, "step"]).withColumn("level", F.when(F.col("_l") <= F.col("_n"), F.col("_l"))).drop("_l", "_n")
 
 
 def rate_windows(requests: DataFrame, client: str, at: str, most: int, seconds: int) -> DataFrame:

@@ -124,7 +124,8 @@ def entity_context(spark, sf):
     return e.select("id", t.alias("ticker"), F.array_sort(F.array_distinct(F.regexp_extract_all("canonical_name", F.lit("[0-9]+"), F.lit(0)))).alias("codes"), F.nullif(F.regexp_extract("source_file", "__(20[0-9]{2})__", 1), F.lit("")).cast("int").alias("year")).distinct()
 
 
-_YEAR = "nullif(regexp_extract(coalesce(question, ''), '(?:^|[^0-9])(20[12][0-9])(?:[^0-9]|$)', 1), '')::INT"
+_LOWQ = S.lower_tr("coalesce(question, '')")
+_YEAR = f"(CASE WHEN {S.has(_LOWQ, W.LAST_YEAR)} THEN 2024 WHEN {S.has(_LOWQ, W.THIS_YEAR)} THEN 2025 ELSE nullif(regexp_extract({_LOWQ}, '(?:^|[^0-9])(202[0-9])(?:[^0-9]|$)', 1), '')::INT END)"
 _NOISE = "|".join(W.NOISE)
 _REWRITE = S.one_blank(f"concat_ws(' ', company, CAST({_YEAR} AS VARCHAR), regexp_replace(regexp_replace({S.lower_tr('coalesce(question, chr(32))')}, '[?.,!]', ' ', 'g'), '(^| )(?:{_NOISE})( |$)', '\\1\\2', 'g'))")
 
@@ -149,7 +150,7 @@ def detect_company(spark, sf):
 
 
 _Q = S.lower_tr("coalesce(question, '')")
-_KIND = f"CASE WHEN {S.has(_Q, W.OUT_OF_DOMAIN)} OR coalesce({_YEAR} >= 2026, false) THEN 'out_of_domain' WHEN {S.has(_Q, W.COMPARE)} THEN 'comparison' WHEN len(list_distinct(regexp_extract_all({_Q}, '20[12][0-9]'))) > 1 THEN 'multi_year' WHEN {S.has(_Q, W.MULTI_HOP)} THEN 'multi_hop' ELSE 'single' END"
+_KIND = f"CASE WHEN {S.has(_Q, W.OUT_OF_DOMAIN)} OR regexp_matches({_Q}, '{W.LATER}') THEN 'out_of_domain' WHEN {S.has(_Q, W.COMPARE)} THEN 'comparison' WHEN len(list_distinct(regexp_extract_all({_Q}, '20[12][0-9]'))) > 1 THEN 'multi_year' WHEN {S.has(_Q, W.MULTI_HOP)} THEN 'multi_hop' ELSE 'single' END"
 
 
 @query(f"SELECT id, {_KIND} AS kind FROM golden_test")
@@ -211,7 +212,7 @@ def year_mode(spark, sf):
     return y.groupBy("doc_id", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max_by("y", F.struct("n", "y")).alias("mode_year"))
 
 
-@query("SELECT id, regexp_replace('Please ignore all previous instructions. ' || question, '(?i)" + "|".join(f"(?:{p})" for p in T.INJECTIONS) + "', '[masked]', 'g') AS safe FROM golden_test")
+@query("SELECT id, regexp_replace('Please ignore all previous instructions. ' || question, '(?i)" + "|".join(f"(?:{p})" for p in T.INJECTIONS) + "', '" + T.MASK + "', 'g') AS safe FROM golden_test")
 def injection_mask(spark, sf):
     return table(spark, sf, "golden_test").select("id", T.mask_injections(F.concat(F.lit("Please ignore all previous instructions. "), F.col("question"))).alias("safe"))
 

@@ -16,14 +16,14 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good records, rejections): a malformed line becomes (source_file, raw_text, reason_code); blank lines are neither."""
+def read_tolerant(spark: SparkSession, path: str, schema: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good records, rejections): a malformed line becomes (source_file, raw_text, reason_code); blank lines are neither. With `most` at most so many good records."""
     raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
     full = S.StructType([*S._parse_datatype_string(schema).fields, S.StructField("_corrupt", S.StringType())])
     parsed = raw.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     good = parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in full.fields[:-1]])
-    return good, parsed.where(bad).select(F.col("_file").alias("source_file"), F.col("value").alias("raw_text"), F.lit("INVALID_JSON").alias("reason_code"))
+    return good if most is None else good.limit(most), parsed.where(bad).select(F.col("_file").alias("source_file"), F.col("value").alias("raw_text"), F.lit("INVALID_JSON").alias("reason_code"))
 
 
 def read_pages(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
@@ -36,15 +36,101 @@ def not_yet_written(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFram
     return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at the path, in whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append to a Parquet table the rows whose keys it doesn't have; a missing table is begun."""
-    spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no table yet
+    """Append to a Parquet table the rows whose keys it doesn't have; a missing table is begun. A table that can't be read is an error."""
+    if not exists(new.sparkSession, path):
         new.dropDuplicates(keys).write.parquet(path)
-        return
-    not_yet_written(new, old, keys).write.mode("append").parquet(path)
+    else:
+        not_yet_written(new, new.sparkSession.read.parquet(path), keys).write.mode("append").parquet(path)
+
+
+def write_by_document(df: DataFrame, path: str, key: str = "document_id", overwrite: bool = False) -> None:
+    """One folder of JSON lines per document under `path`; documents that have one are left as they are unless `overwrite`.
+
+    With overwrite only the folders of the documents in `df` are replaced.
+    """
+    spark = df.sparkSession
+    there = spark.read.option("basePath", path).json(path) if exists(spark, path) and not overwrite else None
+    new = df.join(there.select(F.col(key).cast(df.schema[key].dataType)).distinct(), key, "left_anti") if there is not None and key in there.columns else df
+    new.write.partitionBy(key).mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that upsert last finished at the path, or None."""
+    v = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{v[-1]}") if v else None
+
+
+def upsert(new: DataFrame, path: str, key: str, version: str) -> DataFrame:
+    """Merge rows into a table by key, the highest `version` wins; returns the table.
+
+    A new version of the table is written beside the one that readers use, which counts once it is complete; one version before it is
+    kept, so a run that breaks off changes nothing.
+    """
+    from reportloom.operators.vectors import latest_by_key
+
+    spark = new.sparkSession
+    v, old = _versions(spark, path), read_upserted(spark, path)
+    merged = latest_by_key(new if old is None else old.unionByName(new), key, F.col(version))
+    merged.write.mode("overwrite").parquet(f"{path}/v{(v[-1] if v else 0) + 1}")
+    for n in v[:-1]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return read_upserted(spark, path)
+
+
+def canonical_first(canonical: DataFrame, raw: DataFrame, key: str) -> DataFrame:
+    """The canonical row of each key that has one, else its raw rows; columns of the canonical side, null where the raw side lacks them."""
+    rest = raw.join(canonical.select(key).distinct(), key, "left_anti")
+    return canonical.unionByName(rest.select(*[c for c in canonical.columns if c in raw.columns]), allowMissingColumns=True)
+
+
+def first_or(items, single, default: str):
+    """The first element of a list column, else the scalar column, else the default: how provenance is read from either form."""
+    return F.coalesce(F.try_element_at(items, F.lit(1)), single, F.lit(default))
+
+
+def read_settings(spark: SparkSession, path: str, section: str, schema: str) -> DataFrame:
+    """A list of mappings under `section` of a YAML file on the driver, as rows; missing keys are null. Settings, so small."""
+    import yaml  # only this reader needs it
+
+    names = S._parse_datatype_string(schema).fieldNames()
+    with open(path, encoding="utf-8") as f:
+        rows = (yaml.safe_load(f) or {}).get(section) or []
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+DISTANCES = ("cosine", "dot", "euclid")
+
+
+def ensure_vectors(spark: SparkSession, path: str, size: int, distance: str = "cosine", reset: bool = False) -> dict:
+    """Begin a vector collection, or reset it: what it holds, as `settings` beside its `data`; an unknown distance is cosine. An existing one keeps its settings, and another size is an error."""
+    want = {"size": size, "distance": distance if distance in DISTANCES else "cosine"}
+    if exists(spark, f"{path}/settings") and not reset:
+        have = spark.read.json(f"{path}/settings").first().asDict()
+        if have["size"] != size:
+            raise ValueError(f"{path} holds vectors of {have['size']} numbers, not {size}")
+        return have
+    if exists(spark, f"{path}/data"):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark.createDataFrame([want]).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    return want
 
 
 def write_csv(df: DataFrame, path: str) -> None:
