@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reportloom.functions import text as T
 from reportloom.operators.ontology import edge_rules
 from reportloom.operators.skew import salted_lookup
+from reportloom.session import Stash
 
 EDGE_RULES = edge_rules()
 LOW_CONFIDENCE = 0.5
@@ -64,42 +65,53 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, edges.src == ids._n, "left_semi").join(ids, edges.dst == ids._n, "left_semi")
 
 
-def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, type, missing): edges that lack their source or target node, or both."""
-    ids = nodes.select(F.col("id").alias("n"))
-    s = edges.join(ids, edges.src == ids.n, "left_anti").select("id", "type", F.lit("source").alias("missing"))
-    t = edges.join(ids, edges.dst == ids.n, "left_anti").select("id", "type", F.lit("target").alias("missing"))
-    return s.unionByName(t)
+def dangling_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """(id, type, missing): edges that lack their source or target node, or both. Hubs are split by salts."""
+    n = edges.count() if rows is None else rows
+    there = lambda c: nodes.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+    e = salted_lookup(salted_lookup(edges, there("src"), "src", rows=n), there("dst"), "dst", rows=n)
+    gone = F.filter(F.array(F.when(F.col("_src").isNull(), F.lit("source")), F.when(F.col("_dst").isNull(), F.lit("target"))), lambda x: x.isNotNull())
+    return e.select("id", "type", F.explode(gone).alias("missing"))
 
 
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes at no end of any edge."""
-    ends = edges.select(F.col("src").alias("_n")).union(edges.select("dst"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("_n")).distinct()  # a hub is one row per map task
     return nodes.join(ends, nodes.id == ends._n, "left_anti")
 
 
-def schema_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def schema_violations(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, type, src_label, dst_label) of edges of a known type whose ends have labels that no rule allows; dangling edges are left out."""
     spark = edges.sparkSession
     rules = spark.createDataFrame(EDGE_RULES, "type string, src_label string, dst_label string")
     lab = lambda c, out: nodes.select(F.col("id").alias(c), F.col("label").alias(out))
     e = edges.join(F.broadcast(rules.select("type").distinct()), "type")
-    e = salted_lookup(e, lab("src", "src_label"), "src", "inner")
-    e = salted_lookup(e, lab("dst", "dst_label"), "dst", "inner")
+    e = salted_lookup(e, lab("src", "src_label"), "src", "inner", rows=rows)
+    e = salted_lookup(e, lab("dst", "dst_label"), "dst", "inner", rows=rows)
     return e.join(F.broadcast(rules), ["type", "src_label", "dst_label"], "left_anti").select("id", "type", "src_label", "dst_label")
 
 
 def paths(edges: DataFrame, starts: DataFrame, hops: int, types: list[list[str]] | None = None) -> DataFrame:
     """(start, n1.., e1.., ) directed paths of exactly `hops` edges from the nodes in starts(id); no edge twice on a path.
 
-    `types` names the edge types allowed at each hop, which is what keeps hubs from multiplying; each hop is an equi-join by node.
+    `types` names the edge types allowed at each hop, which is what keeps hubs from multiplying; each hop is an equi-join by node. The
+    paths so far are a table in the shared folder before each further hop, so that those which meet in a hub are counted and split by salts; the
+    last of these tables belongs to the caller. Runs all hops but the last when called.
     """
-    p = starts.select(F.col("id").alias("start"), F.col("id").alias("n0")).distinct()
+    stash = Stash(edges.sparkSession, "paths")
+    p, n = starts.select(F.col("id").alias("start"), F.col("id").alias("n0")).distinct(), 0  # a start is one row
     for h in range(1, hops + 1):
         e = edges if not types else edges.where(F.col("type").isin(types[h - 1]))
-        p = p.join(e.select(F.col("src").alias(f"n{h - 1}"), F.col("dst").alias(f"n{h}"), F.col("id").alias(f"e{h}")), f"n{h - 1}")
+        if h > 1:
+            before = p
+            p, seen = stash.put_counted(p, n=F.count(F.lit(1)))
+            stash.drop(before)
+            n = seen["n"]
+        last, p = p, salted_lookup(p, e.select(F.col("src").alias(f"n{h - 1}"), F.col("dst").alias(f"n{h}"), F.col("id").alias(f"e{h}")), f"n{h - 1}", "inner", rows=n)
         for g in range(1, h):
             p = p.where(F.col(f"e{g}") != F.col(f"e{h}"))
+    if hops > 1:
+        stash.keep(last)
     return p.select("start", *[f"n{h}" for h in range(1, hops + 1)], *[f"e{h}" for h in range(1, hops + 1)])
 
 
@@ -118,16 +130,18 @@ def label_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def audit_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(category, severity, issues): what is wrong with the graph, by category."""
+    """(category, severity, issues): what is wrong with the graph, by category. Nodes and edges are written once, for all checks, when called."""
+    stash = Stash(nodes.sparkSession, "audit")
+    nodes, (edges, seen) = stash.put(nodes), stash.put_counted(edges, n=F.count(F.lit(1)))
     parts = [
-        ("dangling_edge", "critical", dangling_edges(edges, nodes)),
+        ("dangling_edge", "critical", dangling_edges(edges, nodes, seen["n"])),
         ("orphan_node", "warning", orphan_nodes(nodes, edges)),
-        ("schema_violation", "critical", schema_violations(edges, nodes)),
+        ("schema_violation", "critical", schema_violations(edges, nodes, seen["n"])),
         ("invalid_page", "warning", edges.where("page IS NOT NULL AND page < 1")),
         ("low_confidence", "warning", edges.where(F.coalesce("confidence", F.lit(1.0)) < LOW_CONFIDENCE)),
         ("missing_name", "warning", nodes.where(F.coalesce(F.trim("name"), F.lit("")) == "")),
     ]
-    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("issues")).select(F.lit(c).alias("category"), F.lit(s).alias("severity"), "issues") for c, s, df in parts])
+    return stash.finish(reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("issues")).select(F.lit(c).alias("category"), F.lit(s).alias("severity"), "issues") for c, s, df in parts]))
 
 
 def quality_score(issues: DataFrame, nodes: DataFrame) -> DataFrame:
