@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 from reportloom.functions.text import strip
 from reportloom.session import Stash, fan_out
 
-# Notations of languages in lower case, by ISO 639-1 code.
+# The codes of ISO 639-1.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km "
+    "kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr "
+    "ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+# Other notations of languages in lower case, by ISO 639-1 code.
 NOTATIONS = {
     "tr": "tr|tur|turkish|türkçe|turkce|türkisch", "en": "en|eng|english|ingilizce|englisch", "de": "de|deu|ger|german|deutsch|almanca",
     "fr": "fr|fra|fre|french|français|fransızca", "es": "es|spa|spanish|español|ispanyolca", "it": "it|ita|italian|italiano|italyanca",
@@ -167,10 +173,10 @@ def batch_scores(parts: list[str], matrix: np.ndarray, slice_chars: int = 200_00
 
 
 def iso_label(label: Column) -> Column:
-    """The label as ISO 639-1 code, whatever its notation; null where it is missing, a filler or no known language."""
+    """The label as ISO 639-1 code: any of these codes, with or without a region, and the notations listed; null where it is missing or a filler."""
     t = F.lower(F.translate(strip(label), "İ", "i"))
     t = F.when(t.rlike(r"^[a-z]{2,3}[-_][a-z]{2,4}$"), F.regexp_extract(t, "^[a-z]+", 0)).otherwise(t)
-    return F.coalesce(*[F.when(t.isin(*names.split("|")), F.lit(code)) for code, names in NOTATIONS.items()])
+    return F.coalesce(*[F.when(t.isin(*names.split("|")), F.lit(code)) for code, names in NOTATIONS.items()], F.when(t.isin(CODES), t))
 
 
 class Model:
@@ -223,7 +229,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
     """
     spark = labelled.sparkSession
     d = labelled.select(F.col(key).alias("key"), iso_label(F.col(label)).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # at most as many rows as NOTATIONS has languages
+    n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # at most as many rows as CODES has
     languages = sorted(n)
     if not languages:
         return None

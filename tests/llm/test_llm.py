@@ -170,8 +170,17 @@ def test_languages_on_clean_sentences(spark):
 
 
 def test_labels_in_any_notation(spark):
-    d = spark.createDataFrame([(x,) for x in ("tr-TR", "Türkçe", " TR ", "İngilizce", "en_GB", "und", "", "??", None, "deu", "xx")], "l string")
-    assert [r[0] for r in d.select(languages.iso_label(F.col("l"))).collect()] == ["tr", "tr", "tr", "en", "en", None, None, None, None, "de", None]
+    d = spark.createDataFrame([(x,) for x in ("tr-TR", "Türkçe", " TR ", "İngilizce", "en_GB", "und", "", "??", None, "deu", "xx", "fi-FI", "n/a")], "l string")
+    assert [r[0] for r in d.select(languages.iso_label(F.col("l"))).collect()] == ["tr", "tr", "tr", "en", "en", None, None, None, None, "de", None, "fi", None]
+
+
+def test_a_language_without_listed_notations_is_learned_from_its_code(spark):
+    said = {"fi": "Hallitus päätti ostaa yhtiön osakkeita takaisin seuraavien kuukausien aikana. Tehtaan tuotanto kasvoi vuoden aikana selvästi.", "en": "The board decided to buy back shares over the following months. The output of the plant grew during the year."}
+    r = random.Random(1)
+    d = [(f"{k}{i}", k, " ".join(r.sample(t.split(), 12)) + ".") for k, t in said.items() for i in range(60)]
+    m = languages.fit(spark.createDataFrame(d, "k string, lang string, text string"), "k", "text", "lang")
+    got = languages.classify(spark.createDataFrame([(k, t) for k, t in said.items()], "k string, text string"), m, "k", "text").collect()
+    assert m.languages == ["en", "fi"] and all(x.language == x.k for x in got)
 
 
 def test_segments_cover_units_in_order(labelled):
