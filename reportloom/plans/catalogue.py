@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.plans import audits, benchmark, general, graphs, quality, resolution, retrieval, texts
+from reportloom.plans import audits, benchmark, documents, general, graphs, quality, resolution, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (general, texts, retrieval, graphs, audits, quality, resolution, benchmark)
+MODULES = (general, texts, retrieval, graphs, audits, quality, resolution, benchmark, documents)
 
 
 def queries() -> dict[str, Query]:

@@ -200,10 +200,10 @@ def exact_dedupe(spark, sf):
     return d.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("SELECT ticker, year, report_type, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY ticker, year, report_type ORDER BY coalesce(n_chars, 0) DESC, doc_id) = 1")
+@query("SELECT ticker, year, report_type, lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY ticker, year, report_type, lang ORDER BY coalesce(n_chars, 0) DESC, doc_id) = 1")
 def most_complete(spark, sf):
-    d = table(spark, sf, "documents").select("ticker", "year", "report_type", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
-    return R.first_per_key(d, ["ticker", "year", "report_type"], [-F.col("n"), F.col("doc_id")]).select("ticker", "year", "report_type", "doc_id")
+    d = table(spark, sf, "documents").select("ticker", "year", "report_type", "lang", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    return R.first_per_key(d, ["ticker", "year", "report_type", "lang"], [-F.col("n"), F.col("doc_id")]).select("ticker", "year", "report_type", "lang", "doc_id")
 
 
 @query("SELECT ticker, year, document_id FROM (SELECT ticker, year, document_id, any_value(lower(trim(language)) = 'tr') AS tr, max(page_number) AS pages FROM (SELECT ticker, year, document_id, page_number, 'tr' AS language FROM chunks WHERE contains(source_file, '__tr__') UNION ALL SELECT ticker, year, document_id, page_number, 'xx' FROM chunks WHERE NOT contains(source_file, '__tr__')) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY ticker, year ORDER BY tr DESC, pages DESC, document_id) = 1")
