@@ -226,7 +226,8 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
             if out:
                 yield pd.DataFrame(out, columns=["s", "h", "n", "x", "y"])
 
-    got = fan_out(rows.select("source", "text", "h", "chars", "bytes")).mapInPandas(make, "s string, h bigint, n int, x array<int>, y int").toPandas()  # about ten short rows of each sampled text
+    # a bounded sample but much work per row: a stated number of parts isn't coalesced
+    got = rows.select("source", "text", "h", "chars", "bytes").repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(make, "s string, h bigint, n int, x array<int>, y int").toPandas()  # about ten short rows of each sampled text
     if len(got):
         got = got.sort_values(["h", "s", "n"])  # so that the same texts make the same classifier, however they are parted
         # a second round leaves out the ends of real texts that the first takes for cut
