@@ -72,9 +72,10 @@ def entity_recall(spark, sf):
     return table(spark, sf, "golden_test").join(t, "id", "left").select("id", L.name_recall(F.col("expected_entities"), F.col("text")).alias("recall"))
 
 
-@query("SELECT id FROM golden_test WHERE id NOT IN (SELECT golden_id FROM eval_items WHERE golden_id IS NOT NULL)")
+@query("SELECT id FROM golden_test WHERE id NOT IN (SELECT golden_id FROM eval_items WHERE golden_id IS NOT NULL AND item_kind = 'question_answer')")
 def resume_items(spark, sf):
-    i = table(spark, sf, "eval_items").select(F.col("golden_id").alias("id"))
+    # done are the questions that an item of question and answer was made of
+    i = table(spark, sf, "eval_items").where("item_kind = 'question_answer'").select(F.col("golden_id").alias("id"))
     return table(spark, sf, "golden_test").select("id").join(i, "id", "left_anti")
 
 
