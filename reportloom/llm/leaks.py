@@ -95,31 +95,32 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
     stash = Stash(spark, "leaks")
 
     def hashed(name: str, kept=None):
-        """Rows of (key, hash of the text, words, n-grams, their places), without texts that have no n-gram that `kept` lets through."""
+        """Rows of (key, hash of the text, words, n-grams, their places, the n-gram one place before each or 0), without texts that have no n-gram that `kept` lets through."""
 
         def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 words, ends = batch_words(b.column(2).to_pylist())
                 of, at, g = batch_grams(words, ends, seed)
+                pre = np.where(at > 0, np.roll(g, 1), np.uint64(0))
                 if kept is not None:
                     ok = kept(g)
-                    of, at, g = of[ok], at[ok], g[ok]
+                    of, at, g, pre = of[ok], at[ok], g[ok], pre[ok]
                 some = np.unique(of)
                 inside = np.zeros(len(ends) - 1, bool)
                 inside[some] = True
                 sizes = np.diff(ends)
                 take = pa.array(some)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), _lists(words[np.repeat(inside, sizes)].view(np.int64), sizes[some]), _lists(g.view(np.int64), np.bincount(of, minlength=len(sizes))[some]), _lists(at.astype(np.int32), np.bincount(of, minlength=len(sizes))[some])],
-                    names=[name, "h", "words", "g", "at"],
+                    [b.column(0).take(take), b.column(1).take(take), _lists(words[np.repeat(inside, sizes)].view(np.int64), sizes[some]), _lists(g.view(np.int64), np.bincount(of, minlength=len(sizes))[some]), _lists(at.astype(np.int32), np.bincount(of, minlength=len(sizes))[some]), _lists(pre.view(np.int64), np.bincount(of, minlength=len(sizes))[some])],
+                    names=[name, "h", "words", "g", "at", "pre"],
                 )
 
         return run_batches
 
-    cols = "h bigint, words array<bigint>, g array<bigint>, at array<int>"
+    cols = "h bigint, words array<bigint>, g array<bigint>, at array<int>, pre array<bigint>"
     it = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("k"), F.xxhash64(item_text).alias("h"), F.col(item_text).alias("_t")).dropDuplicates(["k", "h"])
     it, seen = stash.put_counted(it.mapInArrow(hashed("k"), f"k {ikind}, {cols}"), grams=F.sum(F.size("g")))
-    grams = it.select(F.struct("k", "h").alias("i"), F.explode(F.arrays_zip("g", "at")).alias("x")).select("i", "x.g", F.col("x.at").alias("pos"))
+    grams = it.select(F.struct("k", "h").alias("i"), F.explode(F.arrays_zip("g", "at", "pre")).alias("x")).select("i", "x.g", F.col("x.at").alias("pos"), "x.pre")
 
     kept, shared = None, None
     if SEED_BITS * seen["grams"] <= 4 * MOST_BITS:
@@ -149,21 +150,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
 
     d = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_key).alias("k"), F.xxhash64(doc_text).alias("h"), F.col(doc_text).alias("_t"))
     d = stash.put(fan_out(d).mapInArrow(hashed("k", kept), f"k {dkind}, {cols}"))
-    hits = d.select(F.struct("k", "h").alias("d"), F.explode(F.arrays_zip("g", "at")).alias("x")).select("d", "x.g", F.col("x.at").alias("pos"))
+    hits = d.select(F.struct("k", "h").alias("d"), F.explode(F.arrays_zip("g", "at", "pre")).alias("x")).select("d", "x.g", F.col("x.at").alias("pos"), "x.pre")
     # how many documents and items hold a gram; windows choose the rarest, ties by the gram's hash, the same in all texts
     docs_with = d.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     items_with = it.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     known = items_with.join(docs_with, "g", "left").select("g", F.coalesce("n", F.lit(0)).alias("n"), "df")
     rated = salted_lookup(grams, known, "g", "inner", rows=seen["grams"])
     if edited:
-        seeds = rated.where("n > 0").select("g", "i").distinct()
+        # of a run of words in common only the first n-gram goes on: the others follow one that both texts have before them
+        seeds = rated.where("n > 0").select("g", "i", F.col("pre").alias("_pre")).distinct()
     else:
         lists = rated.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "df", "g"))).alias("x"))  # one text's own words
         width = run - seed + 1
         windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("x") - F.lit(width - 1))), lambda i: F.array_min(F.transform(F.slice("x", i, width), lambda w: F.struct(w["n"].alias("n"), w["df"].alias("df"), w["g"].alias("g")))))
         # a gram that no document has makes no pair; its window isn't in the corpus then
         seeds = lists.select("i", F.explode(F.array_distinct(windows)).alias("x")).where("x.n > 0").select(F.col("x.g").alias("g"), "i")
-    pairs = salted_lookup(hits, seeds, "g", "inner").groupBy("d", "i").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # one document's own places
+    met_at = salted_lookup(hits, seeds, "g", "inner")
+    if edited:
+        met_at = met_at.where((F.col("pre") != F.col("_pre")) | (F.col("pre") == 0))
+    pairs = met_at.groupBy("d", "i").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # one document's own places
     pairs, met = stash.put_counted(pairs, n=F.count(F.lit(1)))
     pairs = salted_lookup(pairs, it.select(F.struct("k", "h").alias("i"), F.col("words").alias("item")), "i", "inner", rows=met["n"])
     own = d.select(F.struct("k", "h").alias("d"), "words").dropDuplicates(["d"])
