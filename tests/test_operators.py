@@ -189,6 +189,39 @@ def test_similar_pairs_are_all_pairs_of_a_type(spark, monkeypatch):
     assert rows(resolve.similar_pairs(m).select("a", "b")) == sorted(want, key=repr)
 
 
+def test_names_are_compared_in_batches_as_the_library_does(monkeypatch):
+    rng = np.random.default_rng(7)
+    names = ["", " ", "a", "ali kaya", "kaya ali", "kaya\u00a0ali", "x" * 32, "x" * 33 + " ltd", "y" + "x" * 63, "é" * 64] + ["".join(rng.choice(list("abcç .ş"), rng.integers(1, 64))) for _ in range(80)]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(names)), np.arange(len(names))))
+    want = [difflib.SequenceMatcher(None, names[i], names[j]).ratio() if names[i] and names[j] else 0.0 for i, j in zip(x, y)]
+    words = [(set(names[i].split()), set(names[j].split())) for i, j in zip(x, y)]
+    alike = [max(r, 0.65 * r + 0.35 * len(p & q) / max(len(p | q), 1)) >= 0.55 for r, (p, q) in zip(want, words)]
+    monkeypatch.setattr(resolve.difflib, "SequenceMatcher", None)  # names of up to 64 letters don't need it
+    ns = resolve.Names(names)
+    got, value = ns.similarity(x, y)
+    assert got.tolist() == alike
+    plain = [k for k in range(len(x)) if "\u00a0" not in names[x[k]] + names[y[k]]]
+    assert all(value[k] == max(want[k], 0.65 * want[k] + 0.35 * (len(words[k][0] & words[k][1]) / max(len(words[k][0] | words[k][1]), 1))) for k in plain)
+    near = set(zip(*(v.tolist() for v in ns.near(np.arange(len(names)), np.arange(len(names))))))
+    assert {(i, j) for i, j, a in zip(y.tolist(), x.tolist(), alike) if a} <= near
+
+
+def test_scored_pairs_shuffle_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "NAME_BLOCK", 20)
+    # a hot name, an id on two rows, names of either direction, of more than 32 and 64 letters and without a company
+    data = [(f"{i:03d}", "Company", f"c{i % 3}" if i % 4 else None, n) for i, n in enumerate([f"Ata{' ' * (i % 5)} AS" for i in range(60)] + ["Net Satış Geliri", "Satış Geliri Net", "NET SATIS GELIRI", "y" * 40 + " Ltd", "y" * 41 + " AS", "z" * 70 + " Ltd", "z" * 70 + " AS", ""])]
+    data += [("000", "Company", "c9", "Ata AS"), ("000", "Company", "c8", "Other"), ("999", "Company", "c8", "Quite else"), ("998", "Person", "c8", "Quite else")]
+    m = spark.createDataFrame(data, "key string, type string, company string, name string")
+    got = resolve.scored_pairs(m)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0] and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0] and "FlatMapGroupsInArrow" in plan
+    low = m.select("key", "type", "company", "name", T.lower_tr("name").alias("n"), T.ascii_key("name").alias("k"))
+    every = low.select(*[F.col(c).alias(f"{c}_a") for c in low.columns]).crossJoin(low.select(*[F.col(c).alias(f"{c}_b") for c in low.columns])).where("type_a = type_b AND key_a < key_b")
+    s = resolve.name_similarity(F.col("n_a"), F.col("n_b"))
+    want = every.withColumn("s", s).where("k_a = k_b OR type_a = 'Company' AND company_a = company_b AND company_a <> '' OR s >= 0.55").select("key_a", "key_b", "type_a", "name_a", "name_b", "s").distinct()
+    assert rows(got) == rows(want) and got.count() > 1000
+
+
 def test_greedy_distinct_over_the_whole_table(spark):
     rng = np.random.default_rng(5)
     # a chain of drifting texts, so that a row alike only to a dropped one stays; other texts between; copies, empty and null ones
