@@ -222,6 +222,16 @@ def test_scored_pairs_shuffle_no_pair(spark, monkeypatch):
     assert rows(got) == rows(want) and got.count() > 1000
 
 
+def test_pair_class_compares_no_pair_again(spark):
+    from reportloom.plans import graphs
+
+    got = graphs.pair_class(spark, "/root/testdata/sf0.001")
+    assert "EvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()  # the similarity comes with the pair
+    pairs = graphs.mention_pairs(spark, "/root/testdata/sf0.001")
+    want = pairs.select("a", "b", "type", resolve.name_similarity(T.lower_tr("name_a"), T.lower_tr("name_b")).alias("similarity"))
+    assert rows(got.select("a", "b", "type", "similarity")) == rows(want)
+
+
 def test_greedy_distinct_over_the_whole_table(spark):
     rng = np.random.default_rng(5)
     # a chain of drifting texts, so that a row alike only to a dropped one stays; other texts between; copies, empty and null ones
