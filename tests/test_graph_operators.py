@@ -264,3 +264,15 @@ def test_vector_collections(spark, tmp_path):
     with pytest.raises(ValueError):
         records.ensure_vectors(spark, p, 4)
     assert records.ensure_vectors(spark, p, 4, "dot", reset=True) == {"size": 4, "distance": "dot"}
+
+
+def test_paths_are_not_broadcast(spark):
+    from reportloom.operators import graph
+
+    # 400 starts meet in a hub that leads on to 400 nodes: 160,000 paths whose file is a small part of their size
+    edges = [("a", f"s{i}", "hub") for i in range(400)] + [("b", "hub", f"m{i}") for i in range(400)] + [("c", f"m{i}", f"leaf{i}") for i in range(400)]
+    e = spark.createDataFrame([(f"{t}{s}{d}", t, s, d) for t, s, d in edges], "id string, type string, src string, dst string")
+    p = graph.paths(e, e.where("type = 'a'").select(F.col("src").alias("id")), 3, [["a"], ["b"], ["c"]])
+    plan = p._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= 2  # those of the hot keys, at most 200 rows
+    assert p.count() == p.distinct().count() == 160_000 and p.where("substring(n2, 2) = substring(n3, 5) AND n1 = 'hub'").count() == 160_000
