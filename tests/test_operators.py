@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -222,6 +223,26 @@ def test_scored_pairs_shuffle_no_pair(spark, monkeypatch):
     assert rows(got) == rows(want) and got.count() > 1000
 
 
+def test_pair_pieces_are_linear_in_the_mentions(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "NAME_BLOCK", 4)
+    monkeypatch.setattr(resolve, "HELD", 3)
+    rng = np.random.default_rng(5)
+    data = [(f"{int(k):04d}", "Person", f"c{i % 3}", "".join(rng.choice(list("abcde "), 12))) for i, k in enumerate(rng.permutation(400))]
+    m = spark.createDataFrame(data, "key string, type string, company string, name string")
+    pieces = resolve.pair_pieces(m)
+    blocks = pieces.select("own").distinct().count()
+    most = math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))
+    # a block isn't sent to every other, only to as many pieces as there are parts
+    assert blocks > 2 * most and pieces.groupBy("own").count().where(F.col("count") > most).count() == 0
+    # pairs in every direction between blocks, whose matching blocks depend on it
+    key = {k: n for k, _, _, n in data}
+    ratio = {(a, b): difflib.SequenceMatcher(None, key[a], key[b]).ratio() for a in key for b in key if a < b}
+    words = {k: set(n.split()) for k, n in key.items()}
+    value = {(a, b): max(r, 0.65 * r + 0.35 * len(words[a] & words[b]) / len(words[a] | words[b])) for (a, b), r in ratio.items()}
+    got = {(r.a, r.b): r.similarity for r in resolve.scored_pairs(m).collect()}
+    assert got.keys() == {p for p, v in value.items() if v >= 0.55} and all(abs(v - value[p]) < 1e-6 for p, v in got.items())
+
+
 def test_pair_class_compares_no_pair_again(spark):
     from reportloom.plans import graphs
 
