@@ -253,6 +253,25 @@ def test_pair_class_compares_no_pair_again(spark):
     assert rows(got.select("a", "b", "type", "similarity")) == rows(want)
 
 
+def test_pair_class_takes_no_names_from_the_pieces(spark):
+    from reportloom.plans import graphs
+
+    got = graphs.pair_class(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")
+    assert "regexp_replace" not in plan[0] and "name_a" not in plan[0] + plan[1].split("\n")[0]  # names aren't given row by row and folded again
+    p = graphs.mention_pairs(spark, "/root/testdata/sf0.001")
+    same = T.ascii_key("name_a") == T.ascii_key("name_b")
+    s = resolve.name_similarity(T.lower_tr("name_a"), T.lower_tr("name_b"))
+    want = p.withColumn("s", s).select("a", "b", "type", "s", resolve.pair_class(F.col("type"), F.col("s"), F.lit(1.0), same, F.lit(0)))
+    assert rows(got) == rows(want)
+
+
+def test_similarities_are_rounded_as_spark_does(spark):
+    v = [0.65 * (2 * m / t) + 0.35 * (s / u) for t in range(1, 70) for m in range(t // 2 + 1) for u in range(1, 6) for s in range(u + 1)] + [0.1234565, 0.6171875, 0.0, 1.0]
+    want = [r.r for r in spark.createDataFrame([(x,) for x in v], "v double").select(F.round("v", 6).alias("r")).collect()]
+    assert resolve.rounded(np.array(v)).tolist() == want
+
+
 def test_greedy_distinct_over_the_whole_table(spark):
     rng = np.random.default_rng(5)
     # a chain of drifting texts, so that a row alike only to a dropped one stays; other texts between; copies, empty and null ones
